@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, mixing, quality, substring
+from . import decontaminate, fingerprint, hmm, minhash, mixing, quality, substring
 from .common import read
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substring.repeats(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(read(spark, sf_dir, "documents"))
 
