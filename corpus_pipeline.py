@@ -1,11 +1,54 @@
-"""The training-corpus pipeline: each stage calls one operator of cellgrove.llm."""
+"""The training-corpus pipeline: each stage calls one operator of cellgrove.llm and keeps its decisions."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellgrove.llm import decontaminate, minhash, mixing, quality, secrets
+from cellgrove.llm.common import read, settle
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below its threshold go."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(settle(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    hit = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(settle(hit), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are replaced in the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes from each document."""
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = settle(stage(spark, docs, sf_dir))
     return docs
