@@ -18,7 +18,7 @@ BANDS, ROWS = 28, 4
 #: Signature positions compared at a time, and the chance of a similar pair being pruned at one look.
 BATCH = 16
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 1024
 BASE = 0x9E3779B97F4A7C15
 LEADER_ROUNDS = 2
 _A = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -205,10 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         if r < rounds:
             leader = now.groupBy("k").agg(F.min_by("cid", F.xxhash64("cid", F.lit(r))).alias("l"), F.min_by("root", F.xxhash64("cid", F.lit(r))).alias("lr"))
             pairs = now.join(leader, "k").where("cid <> l and root <> lr").select(F.least("cid", "l").alias("u"), F.greatest("cid", "l").alias("v")).distinct()
-            maybe = _prune(pairs, sigs, needs)
+            found = _verify(_prune(pairs, sigs, needs), sets, num, den)
         else:
-            maybe = _across(now, sigs, needs)
-        found = _verify(maybe, sets, num, den)
+            found = _across(now, sigs, sets, roots, needs, num, den)
         links = settle(found if links is None else links.unionByName(found))
         roots = components(links)
     rep = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -238,33 +237,76 @@ def _own(texts: DataFrame, width: int) -> DataFrame:
     return d.dropDuplicates(["cid"])
 
 
-def _across(now: DataFrame, sigs: DataFrame, needs) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components whose signatures leave a chance.
+def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame, needs, num: int, den: int) -> DataFrame:
+    """Links (u, v) between classes of one bucket but different components, compared pair by pair.
 
-    A bucket of m classes is m / BLOCK blocks, and each pair of blocks is a group of its own.
+    Each open bucket goes to its largest component, so that a component meets all its strangers in one place however
+    many bands they share; a place of m classes is m / BLOCK blocks, and each pair of blocks is a group of its own.
+    Signatures (a byte a position; chance matches only spare a pair) prune, full sets decide, and of the links found
+    only those come out that join what the others don't.
     """
-    size = now.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    d = now.join(size, "k").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
+    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    d = now.join(size, "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    hub = d.groupBy("k").agg(F.max(F.struct("m", "root"))["root"].alias("hub"))
+    d = settle(d.join(hub, "k").select("hub", "cid", "root").distinct())
+    n = d.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    d = d.join(n, "hub").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
     d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    d = d.select(F.col("k"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "root").join(sigs, "cid")
-    d = d.select("k", "i", "j", "b", "cid", "root", "sig")
+    d = d.select("hub", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "root")
+    d = d.join(_bytes(sigs), "cid").join(sets, "cid").select("hub", "i", "j", "b", "cid", "root", "sig", "s")
 
     def run(table):
         b, cid, root = (table.column(c).to_numpy() for c in ("b", "cid", "root"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sig = _sig(table.column("sig").to_pylist())
+        hub = table.column("hub")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cid), -1)
+        shingles = [X.unpack(x) for x in table.column("s").to_pylist()]
+        lens = np.array([len(x) for x in shingles])
+        _, flat = np.unique(np.concatenate(shingles), return_inverse=True)
+        cut = np.concatenate(([0], np.cumsum(lens)))
+        mark = np.zeros(len(flat) + 1, np.int32)
+        up = {int(r): int(r) for r in root}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         us, vs = [], []
-        left = np.flatnonzero(b == i)
-        right = np.flatnonzero(b == j)
-        for x in left:
-            other = right[(root[right] != root[x]) & ((cid[right] > cid[x]) | (i != j))]
-            if len(other):
-                got = other[survive(np.broadcast_to(sig[x], (len(other), sig.shape[1])), sig[other], needs)]
-                us += [min(cid[x], cid[y]) for y in got]
-                vs += [max(cid[x], cid[y]) for y in got]
+        for x in np.flatnonzero(root != hub):
+            other = np.flatnonzero((root != root[x]) & ((root == hub) | (cid > cid[x])) & ((i == j) | (b != b[x])))
+            fits = (den * np.minimum(lens[other], lens[x]) >= num * np.maximum(lens[other], lens[x]))
+            other = other[fits]
+            if not len(other):
+                continue
+            other = other[survive(np.broadcast_to(sig[x], (len(other), sig.shape[1])), sig[other], needs)]
+            if not len(other):
+                continue
+            mark[flat[cut[x] : cut[x + 1]]] = 1
+            at = np.concatenate([flat[cut[y] : cut[y + 1]] for y in other])
+            both = np.add.reduceat(mark[at], np.concatenate(([0], np.cumsum(lens[other])[:-1])))
+            mark[flat[cut[x] : cut[x + 1]]] = 0
+            for y in other[den * both >= num * (lens[x] + lens[other] - both)]:
+                p, q = find(int(root[x])), find(int(root[y]))
+                if p != q:
+                    up[p] = q
+                    us.append(min(cid[x], cid[y]))
+                    vs.append(max(cid[x], cid[y]))
         return pa.Table.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return d.groupBy("k", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    return d.groupBy("hub", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _bytes(sigs: DataFrame) -> DataFrame:
+    """Signatures with the low byte of each position only."""
+
+    def run(batches):
+        for b in batches:
+            small = (_sig(b.column(1).to_pylist()) & np.uint32(255)).astype(np.uint8) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in small], pa.binary())], names=["cid", "sig"])
+
+    return sigs.select("cid", "sig").mapInArrow(run, "cid long, sig binary")
 
 
 def brute_force(docs: list[tuple[int, str | None]], width: int, num: int = 80, den: int = 100) -> dict[int, tuple[int, int]]:
