@@ -250,6 +250,8 @@ class LasWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes format("las") known; the reader takes part in filter pushdown."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LasSource)
 
 
