@@ -237,7 +237,7 @@ def _own(texts: DataFrame, width: int) -> DataFrame:
     return d.dropDuplicates(["cid"])
 
 
-def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame, needs, num: int, den: int) -> DataFrame:
+def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame | None, needs, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes of one bucket but different components, compared pair by pair.
 
     Each open bucket goes to its largest component, so that a component meets all its strangers in one place however
@@ -245,8 +245,11 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame,
     Signatures (a byte a position; chance matches only spare a pair) prune, full sets decide, and of the links found
     only those come out that join what the others don't.
     """
-    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    d = now.join(size, "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    if roots is None:
+        d = now.withColumn("m", F.lit(1).cast("long"))
+    else:
+        size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+        d = now.join(size, "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     hub = d.groupBy("k").agg(F.max(F.struct("m", "root"))["root"].alias("hub"))
     d = settle(d.join(hub, "k").select("hub", "cid", "root").distinct())
     n = d.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
