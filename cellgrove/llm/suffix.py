@@ -19,7 +19,8 @@ LENGTH = 100
 GRAM = 32
 #: Different texts around one anchor that still go to a suffix array; beyond, strings are compared by 64-bit hash.
 HOT = 20_000
-BUCKET_ANCHORS = 1_000_000
+BUCKET_ANCHORS = 100_000
+CHUNK_BYTES = 2 << 20
 PLACE_BITS = 24
 KEYS, TEXTS, HASHES, FLAGS1, FLAGS2, SEEN, LATER, SHARED, REPLY3, REPLY4, CONTENTS = range(11)
 
@@ -108,7 +109,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     Null text: no bytes. Texts shorter than `length` stay. Equal doc_ids go by text; a repeated row is a copy of the
     one before; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
-    chunk, _, total = chunk_of(docs)
+    chunk, _, total = chunk_of(docs, CHUNK_BYTES)
     buckets = max(16, math.ceil(total / 30 / BUCKET_ANCHORS))
     held = docs.select(chunk.alias("chunk"), "doc_id", F.col("text").cast("binary").alias("t"))
 

@@ -63,7 +63,7 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> n
             p = p[smaller[p]]
             if len(p):
                 deal(p, lesser, -1)
-    empty = np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int32)
     return np.concatenate([x for c in range(size) for x in (*larger[c], *[y[::-1] for y in reversed(lesser[c])])] or [empty])
 
 
@@ -115,8 +115,8 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
 def _with_end(t, smaller, lms, size):
     """Induction with the end of the text as the smallest suffix, which is then left out."""
     n = len(t)
-    shifted = np.append(t.astype(np.int64) + 1, 0)
-    found = _induce(shifted, np.append(smaller, True), np.concatenate(([n], lms)), size + 1)
+    shifted = np.append(t.astype(np.int16 if size < 1 << 15 else np.int64) + 1, 0).astype(np.int16 if size < 1 << 15 else np.int64)
+    found = _induce(shifted, np.append(smaller, True), np.concatenate(([n], lms)).astype(np.int32), size + 1)
     return found[found < n]
 
 
