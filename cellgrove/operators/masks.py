@@ -11,20 +11,18 @@ from ..functions.scalar import box_area, f32
 
 def rle_encode(bits: Column) -> Column:
     """Run lengths of an array of 0/1 in row-major order, the first run background (of length 0 if the first is set)."""
-    step = F.aggregate(
-        bits,
-        F.struct(F.array().cast("array<int>").alias("runs"), F.lit(0).alias("now"), F.lit(0).alias("n")),
-        lambda a, x: F.when(x == a["now"], F.struct(a["runs"].alias("runs"), a["now"].alias("now"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["runs"], F.array(a["n"])).alias("runs"), x.cast("int").alias("now"), F.lit(1).alias("n"))),
-        lambda a: F.concat(a["runs"], F.array(a["n"])),
-    )
-    return step
+    n = F.size(bits)
+    turns = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(bits, i) != F.get(bits, i - 1))
+    edges = F.concat(F.array(F.lit(0)), turns, F.array(n))
+    runs = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), F.slice(edges, F.lit(1), F.size(edges) - 1), lambda e, b: e - b)
+    return F.when(F.get(bits, 0) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
 
 
 def rle_spans(counts: Column) -> Column:
     """The set runs as an array of (b, e): half-open ranges of flat positions."""
-    ends = F.aggregate(counts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array((F.element_at(a, -1) + x).cast("int"))))
-    spans = F.transform(counts, lambda n, i: F.struct(F.get(ends, i).alias("b"), F.get(ends, i + 1).alias("e"), (i % 2 == 1).alias("on")))
-    return F.filter(spans, lambda s: s["on"] & (s["e"] > s["b"]))
+    ends = F.aggregate(counts, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x).cast("int"))))
+    spans = F.zip_with(counts, ends, lambda n, e: F.struct((e - n).cast("int").alias("b"), e.alias("e")))
+    return F.filter(spans, lambda s, i: (i % 2 == 1) & (s["e"] > s["b"]))
 
 
 def rle_decode(masks: DataFrame, counts: str = "counts", width: str = "w") -> DataFrame:

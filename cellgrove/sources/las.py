@@ -70,8 +70,8 @@ class Header:
     def read(cls, path: str) -> Header:
         with open(path, "rb") as f:
             first = f.read(HEADER_BYTES)
-            if len(first) < HEADER_BYTES:
-                raise LasError(f"{path} is too short")
+            if len(first) < HEADER_BYTES or first[:4] != b"LASF":
+                raise LasError(f"{path} has no LAS 1.4 header")
             return cls.parse(first + f.read(struct.unpack_from("<I", first, 96)[0] - HEADER_BYTES))
 
     @property
@@ -162,7 +162,10 @@ class LasReader(DataSourceReader):
         limit = self.options.get("limit")
         return out[: int(limit)] if limit else out
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        """Record batches of one range; None stands for a scan whose every file is skipped."""
+        if part is None:
+            return
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, h = to_arrow_schema(self.wanted), Header.read(part.path)

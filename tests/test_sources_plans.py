@@ -128,7 +128,7 @@ def test_configurations():
 
 def terrain_points(spark):
     i, j = np.meshgrid(np.arange(64), np.arange(64))
-    rows = [(k, float(a), float(b), 800 + 0.01 * a, 20000, 30000, 20000) for k, (a, b) in enumerate(zip(i.ravel(), j.ravel()))]
+    rows = [(k, float(a), float(b), 800 + 0.01 * float(a), 20000, 30000, 20000) for k, (a, b) in enumerate(zip(i.ravel(), j.ravel()))]
     return spark.createDataFrame(rows, "orig_index long, x double, y double, z double, red int, green int, blue int")
 
 
