@@ -11,7 +11,7 @@ from .common import settle
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
     Each round roughly squares the reach of a root; no group is ever gathered, only its minimum.
     """
-    now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     mark = None
     for _ in range(most):
         now = settle(_small(_large(now)))
@@ -36,4 +36,17 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components did not settle")
+    if not mark[0]:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (u, v) between nodes: only the components they touch are put together anew."""
+    at = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    over = links.join(side("u"), "u", "left").join(side("v"), "v", "left").select(at("u"), at("v"))
+    new = components(over).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = new.join(roots.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return moved.unionByName(alone)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .common import settle
-from .components import components
+from .components import components, joined
 from .substring import SPACE
 
 BANDS, ROWS = 28, 4
@@ -20,7 +20,7 @@ BATCH = 16
 MISS = 1e-6
 BLOCK = 1024
 BASE = 0x9E3779B97F4A7C15
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 _A = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = X.mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64))
 
@@ -91,14 +91,14 @@ def survive(a: np.ndarray, b: np.ndarray, needs: list[tuple[int, int]]) -> np.nd
     return alive
 
 
-def _binary(col) -> list[bytes]:
-    return col.cast(pa.binary()).to_pylist()
-
-
 def _sig(col: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint32).reshape(len(col), BANDS * ROWS)
 
 
+def _small(col: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(col), np.uint8).reshape(len(col), BANDS * ROWS)
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (shingles), cid (a hash of the set; null without shingles), sig."""
 
@@ -131,7 +131,7 @@ def _prune(pairs: DataFrame, sigs: DataFrame, needs) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = survive(_sig(b.column(2).to_pylist()), _sig(b.column(3).to_pylist()), needs) if b.num_rows else []
+            keep = survive(_small(b.column(2).to_pylist()), _small(b.column(3).to_pylist()), needs) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
 
     d = pairs.join(sigs.select(F.col("cid").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("cid").alias("v"), F.col("sig").alias("sv")), "v")
@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     1. Equal sets are one class from the start, however many documents share them. 2. Classes meet in the buckets of
     BANDS bands of ROWS minima; a pair at the threshold meets nowhere with a chance of 4e-7. 3. In each bucket
     everything is compared with one leader, first by signature batches that prune pairs whose posterior chance of
-    being similar is under MISS, then exactly on full sets; a further round takes other leaders in the buckets that
-    still hold several components. 4. What still lies in one bucket but in different components is compared in blocks,
+    being similar is under MISS, then exactly on full sets; further rounds, if any, take other leaders in the buckets
+    that still hold several components. 4. What still lies in one bucket but in different components is compared in blocks,
     pair by pair, so that no link between components is lost; within a component no further link can change anything.
     Rows without doc_id are not linked and have a null component and kept = false. Rows with equal doc_id are separate
     rows of that name. An empty table gives no rows; further columns are ignored.
@@ -194,12 +194,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     every = classes.select("cid", "sig").mapInArrow(explode, "k long, cid long")
     shared = every.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = settle(every.join(shared.select("k"), "k"))
-    sigs = classes.select("cid", "sig")
+    sigs = _bytes(classes)
     met = rows.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
     texts = docs.select("doc_id", "text").join(met.withColumnRenamed("rep", "doc_id"), "doc_id").select("cid", "text")
     # a doc_id may stand on several rows: only sets that are the class's own count
     sets = settle(_own(texts, width))
-    links, roots = None, None
+    roots = None
     for r in range(rounds + 1):
         now = _labelled(rows, roots)
         if r < rounds:
@@ -208,8 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             found = _verify(_prune(pairs, sigs, needs), sets, num, den)
         else:
             found = _across(now, sigs, sets, roots, needs, num, den)
-        links = settle(found if links is None else links.unionByName(found))
-        roots = components(links)
+        roots = components(found) if roots is None else settle(joined(roots, settle(found)))
     rep = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     label = rep.groupBy("root").agg(F.min("rep").alias("component"))
     of = rep.join(label, "root").select(F.col("cid").alias("_cid"), "component")
@@ -242,7 +241,7 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
 
     Each open bucket goes to its largest component, so that a component meets all its strangers in one place however
     many bands they share; a place of m classes is m / BLOCK blocks, and each pair of blocks is a group of its own.
-    Signatures (a byte a position; chance matches only spare a pair) prune, full sets decide, and of the links found
+    Signatures prune, full sets decide, and of the links found
     only those come out that join what the others don't.
     """
     if roots is None:
@@ -256,13 +255,13 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
     d = d.join(n, "hub").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
     d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     d = d.select("hub", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "root")
-    d = d.join(_bytes(sigs), "cid").join(sets, "cid").select("hub", "i", "j", "b", "cid", "root", "sig", "s")
+    d = d.join(sigs, "cid").join(sets, "cid").select("hub", "i", "j", "b", "cid", "root", "sig", "s")
 
     def run(table):
         b, cid, root = (table.column(c).to_numpy() for c in ("b", "cid", "root"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         hub = table.column("hub")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cid), -1)
+        sig = _small(table.column("sig").to_pylist())
         shingles = [X.unpack(x) for x in table.column("s").to_pylist()]
         lens = np.array([len(x) for x in shingles])
         _, flat = np.unique(np.concatenate(shingles), return_inverse=True)
@@ -302,7 +301,7 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
 
 
 def _bytes(sigs: DataFrame) -> DataFrame:
-    """Signatures with the low byte of each position only."""
+    """Signatures with the low byte of each position only: chance matches can spare a pair, never prune one."""
 
     def run(batches):
         for b in batches:
