@@ -20,7 +20,7 @@ GRAM = 32
 #: Different texts around one anchor that still go to a suffix array; beyond, strings are compared by 64-bit hash.
 HOT = 20_000
 BUCKET_ANCHORS = 100_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 PLACE_BITS = 24
 KEYS, TEXTS, HASHES, FLAGS1, FLAGS2, SEEN, LATER, SHARED, REPLY3, REPLY4, CONTENTS = range(11)
 
@@ -45,15 +45,15 @@ class Chunk:
             return
         g = X.grams(self.p, gram)
         low = (g & ~np.uint64((1 << PLACE_BITS) - 1)) if n < 1 << PLACE_BITS else None
-        place = np.arange(len(g), dtype=np.uint64)
         if low is not None:
-            m, width, span = low | place, length - gram + 1, 1
+            m, width, span = low | np.arange(len(g), dtype=np.uint64), length - gram + 1, 1
             while span * 2 <= width:
                 m = np.minimum(m[:-span], m[span:])
                 span *= 2
             if width > span:
                 m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
             anchor = (m & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+            del m, low
         else:  # a text too long for places beside hashes: the same rule, block by block
             anchor = np.concatenate([self._anchors(g, a, min(a + (1 << 20), n - length + 1), length - gram + 1) for a in range(0, n - length + 1, 1 << 20)])
         ok = np.zeros(n + 1, np.int32)
@@ -70,6 +70,7 @@ class Chunk:
         self.begin, self.end = begin[keep], end[keep]  # of the starts
         self.anchor = anchor[self.begin]
         self.key = g[self.anchor]
+        del g, anchor, ok, new
         self.content = X.mix(X.range_hash(self.p, self.begin, self.end + length - 1) ^ (self.anchor - self.begin).astype(np.uint64))
 
     @staticmethod
