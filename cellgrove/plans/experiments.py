@@ -46,6 +46,16 @@ def configurations() -> list[Configuration]:
     return out + [replace(anchor, name=f"bbox_{b:g}", box_fraction=b) for b in (0.5, 1.0)]
 
 
+def title(c: Configuration) -> str:
+    """A configuration in words."""
+    if c.pointwise:
+        return f"{c.pointwise} rules for each point"
+    f = c.fusion
+    parts = [f"{c.source} proposals", "constraints" if f.constraints else "no constraints", f"mode filter {f.window}" if f.smoothing else "no smoothing", f"{c.mode.replace('_', ' ')} transfer"]
+    parts += [t for t, on in (("tree height check", f.tree_height_check), ("physical smoothing", f.physical_smoothing), (f"band {c.band}", c.band is not None), (f"boxes up to {c.box_fraction}", c.box_fraction is not None)) if on]
+    return ", ".join(parts)
+
+
 def predict(c: Configuration, points: DataFrame, grid: Grid, cells: dict[str, DataFrame]) -> DataFrame:
     """Points (with r, c, z, hag, exg) labelled by one configuration; cells: stat cells with confidences by source."""
     if c.pointwise:

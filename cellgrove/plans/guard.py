@@ -6,6 +6,7 @@ import json
 import math
 import os
 import re
+import subprocess
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -116,3 +117,38 @@ def verify_manifest(root: str, wanted: dict[str, str]) -> None:
 def require_same(wanted: set[str], found: set[str], what: str) -> None:
     if wanted != found:
         raise ProtocolViolation(f"{what}: missing {sorted(wanted - found)[:5]}, unexpected {sorted(found - wanted)[:5]}")
+
+
+def require_committed(repository: str, names: list[str]) -> None:
+    """Checks that the files are, byte for byte, those of the last commit."""
+    for n in names:
+        path = inside_folder(repository, n)
+        kept = subprocess.run(["git", "-C", repository, "show", f"HEAD:{n}"], capture_output=True)
+        with open(path, "rb") as f:
+            if kept.returncode or kept.stdout != f.read():
+                raise ProtocolViolation(f"{n} is not committed as it is")
+
+
+@dataclass(frozen=True)
+class BoundedRun:
+    """One evaluation of a development rectangle: bounds checked against the protocol, inputs hashed before anything is
+    read, outputs new, and a record of all of it written once."""
+
+    protocol: Protocol
+    bounds: Bounds
+    inputs: dict[str, str]
+    folder: str
+
+    @classmethod
+    def prepare(cls, protocol: Protocol, bounds: Sequence[float], inputs: dict[str, str], folder: str) -> BoundedRun:
+        run = cls(protocol, protocol.require_free(bounds), inputs, folder)
+        if not contains(protocol.context, run.bounds):
+            raise ProtocolViolation("the rectangle leaves the context")
+        for path, digest in inputs.items():
+            if sha256_file(path) != require_digest(digest):
+                raise ProtocolViolation(f"{path} has changed")
+        os.makedirs(folder, exist_ok=False)
+        return run
+
+    def record(self, outputs: list[str], settings: dict) -> None:
+        create_json(os.path.join(self.folder, "manifest.json"), {"protocol": self.protocol.digest, "bounds": self.bounds, "inputs": self.inputs, "outputs": manifest(self.folder, outputs), "settings": settings})

@@ -163,3 +163,44 @@ def test_streaming_extremes(spark, tmp_path):
         incremental.maintain(spark.readStream.schema(schema).parquet(src), g, out, cp).awaitTermination(120)
     r = incremental.latest(spark, out).collect()
     assert [(x.highest, x.lowest, x.n) for x in r] == [(5.0, -2.0, 3)]
+
+
+def test_titles_differ():
+    c = experiments.configurations()
+    assert len({experiments.title(x) for x in c}) >= 26 and "band 1.5" in experiments.title(next(x for x in c if x.name == "transfer_band_1.5"))
+
+
+def test_bounded_run(tmp_path):
+    import subprocess
+
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps({"context": [0, 0, 10, 10], "protected": [[4, 4, 6, 6]]}))
+    digest = sinks.sha256_file(str(path))
+    p = guard.Protocol.load(str(path), digest)
+    run = guard.BoundedRun.prepare(p, [0, 0, 4, 4], {str(path): digest}, str(tmp_path / "run"))
+    (tmp_path / "run" / "out.csv").write_text("a")
+    run.record(["out.csv"], {"seed": 1})
+    assert json.loads((tmp_path / "run" / "manifest.json").read_text())["outputs"]["out.csv"] == sinks.sha256_file(str(tmp_path / "run" / "out.csv"))
+    for bounds, inputs in (([5, 5, 7, 7], {}), ([8, 8, 12, 12], {}), ([0, 0, 1, 1], {str(path): "0" * 64})):
+        with pytest.raises(guard.ProtocolViolation):
+            guard.BoundedRun.prepare(p, bounds, inputs, str(tmp_path / "other"))
+    git = ["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c"]
+    for step in (["init", "-q"], ["add", "p.json"], ["commit", "-qm", "a"]):
+        subprocess.run([*git, *step], check=True)
+    guard.require_committed(str(tmp_path), ["p.json"])
+    path.write_text("{}")
+    with pytest.raises(guard.ProtocolViolation):
+        guard.require_committed(str(tmp_path), ["p.json"])
+
+
+def test_tokens(spark):
+    from cellgrove.functions import tokens
+
+    vocabulary = "/opt/tokenizers/word_bpe_49k.json"
+    pytest.importorskip("tokenizers")
+    if not os.path.exists(vocabulary):
+        pytest.skip("no vocabulary")
+    d = spark.createDataFrame([(1, "  Parking   LOT "), (2, None), (3, "road " * 50)], "id int, text string")
+    got = {r.id: r.ids for r in tokens.encode(d, vocabulary, context=16).collect()}
+    assert all(len(v) == 16 for v in got.values()) and got[2][2:] == [0] * 14 and got[3][-1] == got[2][1]
+    assert tokens.decode(got[1], vocabulary) == "parking lot"
