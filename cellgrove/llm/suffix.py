@@ -69,7 +69,7 @@ class Chunk:
         keep = ok[begin]
         self.begin, self.end = begin[keep], end[keep]  # of the starts
         self.anchor = anchor[self.begin]
-        self.key = g[self.anchor]
+        self.key = X.mix(g[self.anchor] + np.uint64(1))  # least hashes are small: spread them over all buckets
         del g, anchor, ok, new
         self.content = X.mix(X.range_hash(self.p, self.begin, self.end + length - 1) ^ (self.anchor - self.begin).astype(np.uint64))
 
