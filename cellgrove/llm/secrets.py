@@ -8,16 +8,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Public credential formats.
+#: What stands between the base64 lines of a key without an END line: white space, quotes and marks, escaped line ends.
+_GAP = r"""(?:[\s>#*|"',;]|\\[rnt\\])"""
+_KEY_HEAD = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: To the END line if no other line of five dashes comes first, else over headers and base64 lines; the last may be short.
+_KEY_BODY = rf"""(?:[^-]*+(?:-{{1,4}}+(?!-)[^-]*+)*+-----END [A-Z ]{{0,20}}PRIVATE KEY-----|(?:{_GAP}*+(?:Proc-Type|DEK-Info): ?[A-Z0-9,\-]++)*+(?:(?:{_GAP}*+[A-Za-z0-9+/]{{20,}}+={{0,2}}+)++(?:{_GAP}++[A-Za-z0-9+/]++(?:={{1,2}}+|(?=[\r\n"'\\]|\z)))?+)?+)"""
+#: Public credential formats. Values run to their end, however long; possessive, so they need no stack.
 KINDS = {
     "aws_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "github": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}+",
     "google": r"AIza[0-9A-Za-z_\-]{35}",
-    "jwt": r"eyJ[A-Za-z0-9_\-]{10,2000}\.[A-Za-z0-9_\-]{10,4000}\.[A-Za-z0-9_\-]{10,1000}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "slack": r"xox[abprs]-[0-9A-Za-z\-]{10,200}",
-    "stripe": r"[rs]k_(?:live|test)_[0-9a-zA-Z]{16,99}",
-    "assigned": r"""(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;<>]{8,200}""",
+    "jwt": r"eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+",
+    "private_key": _KEY_HEAD + _KEY_BODY,
+    "slack": r"xox[abprs]-[0-9A-Za-z\-]{10,}+",
+    "stripe": r"[rs]k_(?:live|test)_[0-9a-zA-Z]{16,}+",
+    "assigned": rf"""(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?!{_KEY_HEAD})[^\s"',;<>]{{8,}}+""",
 }
 PATTERN = "|".join(KINDS.values())
 #: Words that placeholders are made of.
@@ -62,7 +67,7 @@ def featured(found: DataFrame) -> DataFrame:
     around = F.lower(F.concat_ws(" ", "before", "after"))
     made = {
         "length": n,
-        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64.0)),  # of base64's characters, or a long random value would look repetitive
         "digits": rest("[^0-9]+") / n,
         "upper": rest("[^A-Z]+") / n,
         "runs": F.length(F.regexp_replace(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit("x"))) / n,
