@@ -116,7 +116,7 @@ def _pass(docs: DataFrame, block, window: int) -> DataFrame:
                 spans.append([{"b": int(b), "e": int(x)} for b, x in zip(e[::2], e[1::2])])
             else:
                 spans.append([])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, out_schema.field("spans").type), pa.array([sorted(items.get(d, [])) for d in range(len(rows))], out_schema.field("items").type)], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, out_schema.field("spans").type), pa.array([sorted(set(items.get(d, []))) for d in range(len(rows))], out_schema.field("items").type)], schema=out_schema)
 
     def run(batches):
         q = Queries(block.value, window)
@@ -140,6 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     Each task builds a positional inverted index of its documents, holding postings of benchmark terms only (a bounded
     shard at a time), and answers every window by intersecting offset-adjusted lists from the rarest term on. The
     windows travel in blocks of bounded size; with several blocks the passes are merged by document.
+    An item_id on several benchmark rows is one item, with the windows of all its rows.
     Null text or item: no words. Items with fewer words than a window are one window; items without words match nothing.
     Repeated rows stay repeated; empty tables give no rows or no hits; further columns are ignored.
     """

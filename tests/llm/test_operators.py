@@ -402,6 +402,24 @@ def test_decontamination_edges(spark, empty, odd):
     assert decontaminate.find(odd, b, block_bytes=200).count() == 5
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 100])
+def test_decontamination_counts_an_item_once(spark, block_bytes):
+    rng = random.Random(10)
+    a, b, c = (prose(rng, 12, 10**6) for _ in range(3))
+    items = [(7, a), (7, a), (7, b), (8, b), (9, c)]
+    rows = [(1, f"{a} between {b}"), (2, b), (3, "clean")]
+    d, q = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.find(d, q, block_bytes=block_bytes).collect()}
+    assert got == {1: ["7", "8"], 2: ["7", "8"], 3: []}
+
+
+def test_repeated_items_in_contamination(spark):
+    text = prose(random.Random(11), 12, 10**6)
+    items, rows = [(7, text), (7, text), (7, text + " more")], [(1, text), (2, "clean")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == decontaminate.brute_force(rows, items)
+
+
 def test_near_phrases(spark):
     d = spark.createDataFrame([(1, "b a x c e d"), (2, "a b"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
