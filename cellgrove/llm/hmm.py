@@ -16,11 +16,14 @@ STATES = 8
 #: Words that are symbols of their own (the most frequent); all others emit the class of their last three bytes.
 FREQUENT = 20_000
 CLASSES = 512
-#: Documents, by a hash of doc_id, from which the first parameters are found; then FULL_PASSES over all of them.
-START_DOCS, START_STEPS, FULL_PASSES = 600, 10, 1
+#: Documents, by a hash of doc_id, from which a start is found; then passes over all of them until the log likelihood
+#: gains no more than this share.
+START_DOCS, START_STEPS, SETTLED = 600, 10, 1e-3
 PRIOR = 200.0
 #: Documents recursed over side by side, in bytes of text.
 BATCH_BYTES = 8 << 20
+#: The same for encoded documents, in bytes of symbols.
+BATCH_CODED = 2 << 20
 END = b""
 
 
@@ -111,9 +114,14 @@ def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
 
 def expected_counts(model: Model, seqs: list[np.ndarray], size: int):
     """Baum-Welch: expected starts, moves and emissions, by scaled forward and backward recursions."""
+    return _expected(model, seqs, size)[:3]
+
+
+def _expected(model: Model, seqs: list[np.ndarray], size: int):
+    """The expected counts, and the log10 likelihood of the sequences under the model."""
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
     if not seqs:
-        return start, move, emit
+        return start, move, emit, 0.0
     _, flat, begin, active = _layout(seqs)
     alphas = np.empty((len(flat), STATES), np.float32)
     scale = np.empty(len(flat))
@@ -136,21 +144,21 @@ def expected_counts(model: Model, seqs: list[np.ndarray], size: int):
     start += (alphas[begin] / alphas[begin].sum(1, keepdims=True)).sum(0)
     for s in range(STATES):
         emit[:, s] = np.bincount(flat, weights=alphas[:, s], minlength=size)
-    return start, move, emit
+    return start, move, emit, float(np.log10(scale).sum())
 
 
 def held_out(mod: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def _batches(batches, text_at: int):
-    """Rows of the Arrow batches as tuples, in lots of about BATCH_BYTES."""
+def _batches(batches, text_at: int, most: int = BATCH_BYTES):
+    """Rows of the Arrow batches as tuples, in lots of about so many bytes."""
     rows, size = [], 0
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns)):
             rows.append(r)
             size += len(r[text_at] or b"")
-            if size >= BATCH_BYTES:
+            if size >= most:
                 yield rows
                 rows, size = [], 0
     if rows:
@@ -179,26 +187,41 @@ def count_words(train: DataFrame) -> DataFrame:
     return counts.groupBy("w", "k").agg(F.sum("c").alias("c"))
 
 
-def _full_pass(train: DataFrame, model: Model, vocabulary: Vocabulary) -> Model:
-    """One Baum-Welch step: every task adds up the expected counts of its documents, Spark adds up the tasks'."""
-    given = train.sparkSession.sparkContext.broadcast((model, vocabulary))
+def _encoded(train: DataFrame, vocabulary: Vocabulary, every: int) -> DataFrame:
+    """first (one document in `every`, by a hash of doc_id) and s, the symbols of a text as bytes."""
+    given = train.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = np.min_scalar_type(vocabulary.size)
 
     def run(batches):
-        m, v = given.value
-        sums = None
-        for rows in _batches(batches, 0):
-            part = expected_counts(m, [v.encode(r[0])[0] for r in rows], v.size)
+        v = given.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.encode(t)[0].astype(kind).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["first", "s"])
+
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0
+    return train.select(first.alias("first"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "first boolean, s binary")
+
+
+def _full_pass(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> tuple[Model, float]:
+    """One Baum-Welch step, and the log likelihood before it: every task adds up the expected counts of its documents, Spark adds up the tasks'."""
+    given = coded.sparkSession.sparkContext.broadcast(model)
+    n, kind = vocabulary.size, np.min_scalar_type(vocabulary.size)
+
+    def run(batches):
+        m, sums = given.value, None
+        for rows in _batches(batches, 0, BATCH_CODED):
+            part = _expected(m, [np.frombuffer(r[0], kind).astype(np.int32) for r in rows], n)
             sums = part if sums is None else tuple(a + b for a, b in zip(sums, part))
         if sums is not None:
-            every = np.concatenate((sums[0][None, :], sums[1], sums[2]))
+            every = np.concatenate((sums[0][None, :], sums[1], sums[2], np.full((1, STATES), sums[3])))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every)) - 1 - STATES), *(pa.array(every[:, s]) for s in range(STATES))], names=["i", *(f"s{s}" for s in range(STATES))])
 
     cols = [f"s{s}" for s in range(STATES)]
-    rows = train.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in cols)).groupBy("i").agg(*[F.sum(c).alias(c) for c in cols]).collect()
-    every = np.zeros((1 + STATES + vocabulary.size, STATES))
+    rows = coded.select("s").mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in cols)).groupBy("i").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    every = np.zeros((1 + STATES + n + 1, STATES))
     for r in rows:
         every[r[0] + 1 + STATES] = r[1:]
-    return Model.from_counts(every[0], every[1 : 1 + STATES], every[1 + STATES :], vocabulary.prior)
+    given.destroy()
+    return Model.from_counts(every[0], every[1 : 1 + STATES], every[1 + STATES : -1], vocabulary.prior), float(every[-1, 0])
 
 
 def fit(train: DataFrame, counts: DataFrame, end_count: int) -> tuple[Model, Vocabulary]:
@@ -214,14 +237,15 @@ def fit(train: DataFrame, counts: DataFrame, end_count: int) -> tuple[Model, Voc
     for w, c in frequent:
         mass[word_class(w)] -= c + 1
     v = Vocabulary(frequent, end_count, mass)
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, end_count // START_DOCS))) == 0
-    first = train.where(some & (F.coalesce(F.octet_length("text"), F.lit(0)) < 1 << 20)).select(F.col("text").cast("binary"))
-    seqs = [v.encode(r[0])[0] for r in first.limit(4 * START_DOCS).collect()]
+    coded = settle(_encoded(train, v, max(1, end_count // START_DOCS)))
+    start = settle(coded.where("first").repartition(4))
     m = Model.random(v.size, v.prior)
     for _ in range(START_STEPS):
-        m = Model.from_counts(*expected_counts(m, seqs, v.size), v.prior)
-    for _ in range(FULL_PASSES):
-        m = _full_pass(train, m, v)
+        m, _ = _full_pass(start, m, v)
+    last, gains = -np.inf, True
+    while gains:
+        m, now = _full_pass(coded, m, v)
+        gains, last = now - last > SETTLED * abs(now), now
     return m, v
 
 

@@ -100,6 +100,29 @@ def test_hmm_forward_is_exact_and_training_helps():
         m = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def test_hmm_settles_on_all_documents(spark, monkeypatch):
+    """However poor the start, a further step over all training documents gains next to nothing."""
+    monkeypatch.setattr(hmm, "START_STEPS", 0)
+    rng = random.Random(12)
+    topics = [[f"t{k}w{i}" for i in range(10)] for k in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[k]) for k in rng.choices(range(6), k=5) for _ in range(20))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m, v = hmm.fit(d, hmm.count_words(d), len(rows))
+    seqs = [v.encode(t.encode())[0] for _, t in rows]
+    before = hmm.log_likelihood(m, seqs).sum()
+    after = hmm.log_likelihood(hmm.Model.from_counts(*hmm.expected_counts(m, seqs, v.size), v.prior), seqs).sum()
+    assert after - before <= 1e-3 * abs(after)
+
+
+def test_hmm_start_takes_long_documents(spark, monkeypatch):
+    """Texts of 1 MiB and more take part in the start."""
+    seen, step = [], hmm.Model.from_counts
+    monkeypatch.setattr(hmm.Model, "from_counts", lambda *a: seen.append(a[0].sum()) or step(*a))
+    text = " ".join(c * 1000 for c in "abcdef" * 200)
+    hmm.fit(d := spark.createDataFrame([(1, text)], "doc_id long, text string"), hmm.count_words(d), 1)
+    assert seen[0] == pytest.approx(1, rel=1e-4)
+
+
 def test_hmm_edges(spark, empty, odd):
     assert hmm.lm_scores(empty).count() == 0
     rows = hmm.lm_scores(odd).collect()
