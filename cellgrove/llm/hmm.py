@@ -21,7 +21,7 @@ CLASSES = 512
 START_DOCS, START_STEPS, SETTLED = 600, 10, 1e-3
 PRIOR = 200.0
 #: Documents recursed over side by side, in bytes of text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: The same for encoded documents, in bytes of symbols.
 BATCH_CODED = 2 << 20
 END = b""
@@ -85,66 +85,77 @@ class Model:
         return cls((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _layout(seqs: list[np.ndarray]):
-    """The sequences one after the other, longest first; the begin of each; how many are longer than t."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    lens = np.array([len(seqs[i]) for i in order])
-    flat = np.concatenate([seqs[i] for i in order])
-    begin = np.cumsum(lens) - lens
-    active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
-    return order, flat, begin, active
+class _Steps:
+    """Sequences side by side, longest first, their symbols step by step: step t holds the first active[t] sequences."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        self.order = np.argsort([-len(s) for s in seqs], kind="stable")
+        lens = np.array([len(seqs[i]) for i in self.order])
+        self.active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
+        self.edge = np.concatenate(([0], np.cumsum(self.active)))
+        step = np.repeat(np.arange(lens[0], dtype=np.int64), self.active)
+        rank = np.arange(self.edge[-1]) - self.edge[step]
+        self.symbols = np.concatenate([seqs[i] for i in self.order])[(np.cumsum(lens) - lens)[rank] + step]
+        self.rank = rank
+
+    def forward(self, model: Model, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions and scaled forward variables (states x symbols) and the scale of every step."""
+        emit = np.ascontiguousarray(model.emit.T.astype(kind))[:, self.symbols]
+        alpha, scale = np.empty_like(emit), np.empty(emit.shape[1], kind)
+        onward, edge = np.ascontiguousarray(model.move.T.astype(kind)), self.edge.tolist()
+        for t in range(len(self.active)):
+            now = alpha[:, edge[t] : edge[t + 1]]
+            if t:
+                np.matmul(onward, alpha[:, edge[t - 1] : edge[t - 1] + now.shape[1]], out=now)
+                now *= emit[:, edge[t] : edge[t + 1]]
+            else:
+                np.multiply(emit[:, : edge[1]], model.start.astype(kind)[:, None], out=now)
+            c = np.add.reduce(now, 0, out=scale[edge[t] : edge[t + 1]])
+            now /= c
+        return emit, alpha, scale
 
 
 def log_likelihood(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 of each sequence's probability by the scaled forward recursion, all sequences a step at a time."""
     if not seqs:
         return np.zeros(0)
-    order, flat, begin, active = _layout(seqs)
-    ll, alpha = np.zeros(len(seqs)), None
-    for t, n in enumerate(active):
-        e = model.emit[flat[begin[:n] + t]]
-        alpha = e * (model.start if t == 0 else alpha[:n] @ model.move)
-        c = alpha.sum(1)
-        alpha /= c[:, None]
-        ll[:n] += np.log10(c)
+    steps = _Steps(seqs)
+    scale = steps.forward(model, np.float64)[2]
     out = np.empty(len(seqs))
-    out[order] = ll
+    out[steps.order] = np.bincount(steps.rank, weights=np.log10(scale), minlength=len(seqs))
     return out
 
 
-def expected_counts(model: Model, seqs: list[np.ndarray], size: int):
+def expected_counts(model: Model, seqs: list[np.ndarray], size: int, kind=np.float64):
     """Baum-Welch: expected starts, moves and emissions, by scaled forward and backward recursions."""
-    return _expected(model, seqs, size)[:3]
+    return _expected(model, seqs, size, kind)[:3]
 
 
-def _expected(model: Model, seqs: list[np.ndarray], size: int):
+def _expected(model: Model, seqs: list[np.ndarray], size: int, kind=np.float32):
     """The expected counts, and the log10 likelihood of the sequences under the model."""
-    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
+    move, emitted = np.zeros((STATES, STATES)), np.zeros((size, STATES))
     if not seqs:
-        return start, move, emit, 0.0
-    _, flat, begin, active = _layout(seqs)
-    alphas = np.empty((len(flat), STATES), np.float32)
-    scale = np.empty(len(flat))
-    alpha = None
-    for t, n in enumerate(active):
-        at = begin[:n] + t
-        alpha = model.emit[flat[at]] * (model.start if t == 0 else alpha[:n] @ model.move)
-        c = alpha.sum(1)
-        alpha /= c[:, None]
-        alphas[at], scale[at] = alpha, c
-    beta = np.ones((active[0], STATES))
-    for t in range(len(active) - 1, 0, -1):
-        n = active[t]
-        at = begin[:n] + t
-        b = model.emit[flat[at]] * beta[:n] / scale[at][:, None]
-        move += (alphas[at - 1].T @ b) * model.move
-        alphas[at] *= beta[:n]
-        beta[:n] = b @ model.move.T
-    alphas[begin] *= beta
-    start += (alphas[begin] / alphas[begin].sum(1, keepdims=True)).sum(0)
+        return np.zeros(STATES), move, emitted, 0.0
+    steps = _Steps(seqs)
+    emit, alpha, scale = steps.forward(model, kind)
+    emit /= scale
+    back, edge = np.ascontiguousarray(model.move.astype(kind)), steps.edge.tolist()
+    beta = np.ones((STATES, edge[1]), kind)
+    for t in range(len(steps.active) - 1, -1, -1):
+        a, b = edge[t], edge[t + 1]
+        ahead = beta[:, : b - a]
+        if t:
+            onward = emit[:, a:b]
+            onward *= ahead
+            move += alpha[:, edge[t - 1] : edge[t - 1] + b - a] @ onward.T
+        alpha[:, a:b] *= ahead
+        if t:
+            np.matmul(back, onward, out=ahead)
+    move *= model.move
     for s in range(STATES):
-        emit[:, s] = np.bincount(flat, weights=alphas[:, s], minlength=size)
-    return start, move, emit, float(np.log10(scale).sum())
+        emitted[:, s] = np.bincount(steps.symbols, weights=alpha[s], minlength=size)
+    first = alpha[:, : edge[1]]
+    return (first / first.sum(0)).sum(1).astype(np.float64), move, emitted, float(np.log10(scale.astype(np.float64)).sum())
 
 
 def held_out(mod: int = 7, rest: int = 2) -> Column:
@@ -188,7 +199,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def _encoded(train: DataFrame, vocabulary: Vocabulary, every: int) -> DataFrame:
-    """first (one document in `every`, by a hash of doc_id) and s, the symbols of a text as bytes."""
+    """first (one document in `every`, by a hash of doc_id) and s, the symbols of a text as bytes; long ones side by side."""
     given = train.sparkSession.sparkContext.broadcast(vocabulary)
     kind = np.min_scalar_type(vocabulary.size)
 
@@ -198,7 +209,7 @@ def _encoded(train: DataFrame, vocabulary: Vocabulary, every: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.encode(t)[0].astype(kind).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["first", "s"])
 
     first = F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0
-    return train.select(first.alias("first"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "first boolean, s binary")
+    return train.select(first.alias("first"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "first boolean, s binary").sortWithinPartitions(F.octet_length("s").desc())
 
 
 def _full_pass(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> tuple[Model, float]:
@@ -224,15 +235,29 @@ def _full_pass(coded: DataFrame, model: Model, vocabulary: Vocabulary) -> tuple[
     return Model.from_counts(every[0], every[1 : 1 + STATES], every[1 + STATES : -1], vocabulary.prior), float(every[-1, 0])
 
 
-def fit(train: DataFrame, counts: DataFrame, end_count: int) -> tuple[Model, Vocabulary]:
-    # the largest bins of counts that FREQUENT words fit in: a bounded answer, however many words and tasks there are
-    level = F.floor(F.log2("c") * 16).cast("int")
-    least, room = 1 << 30, FREQUENT
+def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """About FREQUENT words at most, by bins of their counts from the top; the bin that they don't all fit in is filled
+    by a hash of the word. So the answer is bounded however many words, equal counts and tasks there are."""
+    level, place = F.floor(F.log2("c") * 16).cast("int"), F.pmod(F.xxhash64("w"), F.lit(1 << 20))
+    least, room, part = 1 << 30, FREQUENT, 0
     for b, words in sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("b")).count().collect()), reverse=True):
         if words > room:
+            part = (room << 20) // words
             break
         least, room = b, room - words
-    frequent = sorted(((bytes(r[0]), r[1]) for r in counts.where(level >= least).select("w", "c").collect()), key=lambda x: (-x[1], x[0]))
+    chosen = (level >= least) | ((level == b) & (place < part)) if part else level >= least
+    return sorted(((bytes(r[0]), r[1]) for r in counts.where(chosen).select("w", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def fit(train: DataFrame, counts: DataFrame, end_count: int) -> tuple[Model, Vocabulary]:
+    """The model and its symbols, from the training documents (text), their word counts (w, k, c) and their number.
+
+    Baum-Welch from random parameters around the unigram shares: START_STEPS steps over about START_DOCS documents find
+    a start, then steps over all documents go on until one gains no more than SETTLED of the log likelihood. Every step
+    is one Spark job that adds up expected counts; no text comes to the driver. Null texts are ends alone; without
+    documents the random parameters stay.
+    """
+    frequent = _most_frequent(counts)
     mass = {r[0]: float(r[1]) for r in counts.groupBy("k").agg(F.sum(F.col("c") + 1)).collect()}
     for w, c in frequent:
         mass[word_class(w)] -= c + 1

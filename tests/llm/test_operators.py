@@ -489,3 +489,36 @@ def test_plain_chats(spark):
     got = {(r.conv_id, r.turn): (r.status, r.level) for r in tools.link(*tools.exchanges(m)).collect()}
     assert got == {(1, 1): ("ok", 0), (1, 3): ("unanswered", 1), (2, 0): ("invalid_arguments", 0)}
     assert tools.link(*tools.exchanges(m.limit(0))).count() == 0
+
+
+def test_hmm_score_end_to_end_by_hand(spark):
+    """The forward sum over symbols times the shares, word by word in plain Python, on the fitted parameters."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.choice([0, 1, 5, 30, 90]), 60)) for i in range(60)] + [(60, prose(rng, 30_000, 60)), (61, "never seen words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = d.where("doc_id < 55")
+    counts = Counter(w for i, t in rows if i < 55 for w in hmm.tokens(t.encode()))
+    m, v = hmm.fit(learn, hmm.count_words(learn), 55)
+    mass = Counter()
+    for w, c in counts.items():
+        if w not in v.symbol:
+            mass[hmm.word_class(w)] += c + 1
+    assert np.allclose(v.mass, [mass[k] + 1 for k in range(hmm.CLASSES)])
+    got = {r.doc_id: r.score for r in hmm.score(d, learn).collect()}
+    for i, t in rows:
+        ws, total, alpha = hmm.tokens(t.encode()), 0.0, None
+        for w in [*ws, None]:
+            s = 0 if w is None else v.symbol.get(w, len(v.known) + hmm.word_class(w))
+            alpha = [(m.start[y] if alpha is None else sum(alpha[x] * m.move[x, y] for x in range(hmm.STATES))) * m.emit[s, y] for y in range(hmm.STATES)]
+            total += math.log10(sum(alpha))
+            alpha = [a / sum(alpha) for a in alpha]
+            if w is not None and w not in v.symbol:
+                total += math.log10((counts[w] + 1) / v.mass[hmm.word_class(w)])
+        assert abs(total - got[i]) < 1e-6 * max(1, abs(total)), i
+
+
+def test_hmm_frequent_words_of_a_flat_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 50)
+    d = spark.createDataFrame([(1, " ".join(f"w{i} w{i}" for i in range(400)))], "doc_id long, text string")
+    got = hmm._most_frequent(hmm.count_words(d))
+    assert 20 <= len(got) <= 100 and {c for _, c in got} == {2}
