@@ -80,11 +80,19 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def bucket_of(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """The buckets of bits-bit hashes: equal ranges, told by the upper 32 bits at most."""
+    high = values >> np.uint64(max(0, bits - 32))
+    return (high * np.uint64(buckets) >> np.uint64(min(bits, 32))).astype(np.int64)
+
+
 def split(sorted_values: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
-    """(bucket, begin, end) of each bucket that has values; buckets are equal ranges of bits-bit hashes."""
-    edges = np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], dtype=np.uint64)
-    at = np.concatenate(([0], np.searchsorted(sorted_values, edges), [len(sorted_values)]))
-    return [(b, int(at[b]), int(at[b + 1])) for b in range(buckets) if at[b + 1] > at[b]]
+    """(bucket, begin, end) of each bucket that has values; the work grows with the values, not with the buckets."""
+    if not len(sorted_values):
+        return []
+    of = bucket_of(sorted_values, buckets, bits)
+    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    return list(zip(of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(of)]))
 
 
 def member(sorted_values: np.ndarray, probes: np.ndarray) -> np.ndarray:

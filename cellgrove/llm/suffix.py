@@ -177,7 +177,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         if repeat.any() or shard.any() or hot.any():
             out.append((n % buckets, n, FLAGS2, X.bits_of(np.concatenate((repeat, shard, hot)))))
         at = np.flatnonzero(shard)
-        bucket = (c.key[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        bucket = X.bucket_of(c.key[at], buckets, 64)
         order = np.argsort(bucket, kind="stable")
         for b in np.unique(bucket):
             own = at[order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]]
@@ -248,11 +248,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             np.add.at(dup, c.begin[repeat], 1)
             np.add.at(dup, c.end[repeat] + length - 1, -1)
             at = np.flatnonzero(shard)
-            bucket = (c.key[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            bucket = X.bucket_of(c.key[at], buckets, 64)
             single = []
             for b, k, p in got:
                 if k == REPLY3:
-                    place = _inside(c, at[bucket == np.uint64(b)])
+                    place = _inside(c, at[bucket == b])
                     single.append(place[X.flags_of(p, len(place))])
             if hot.any():
                 place = _inside(c, hot)

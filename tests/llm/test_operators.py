@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import settle
-from cellgrove.llm import components, decontaminate, exchange, fingerprint, hmm, minhash, mixing, quality, secrets, substring, suffix, suffix_array, tools
+from cellgrove.llm import common, components, decontaminate, exchange, fingerprint, hmm, minhash, mixing, quality, secrets, substring, suffix, suffix_array, tools
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,7 +58,7 @@ def test_exchange_round_trips():
         h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
         assert (exchange.unpack(exchange.pack(h)) == h).all()
         parts = exchange.split(h, 7, 64)
-        assert sum(e - b for _, b, e in parts) == len(h) and all(int(h[b]) * 7 >> 64 == k for k, b, _ in parts)
+        assert sum(e - b for _, b, e in parts) == len(h) and all((int(x) >> 32) * 7 >> 32 == k for k, b, e in parts for x in h[b:e])
 
 
 # 1
@@ -555,3 +555,21 @@ def test_hmm_frequent_words_of_a_flat_vocabulary(spark, monkeypatch):
     d = spark.createDataFrame([(1, " ".join(f"w{i} w{i}" for i in range(400)))], "doc_id long, text string")
     got = hmm._most_frequent(hmm.count_words(d))
     assert 20 <= len(got) <= 100 and {c for _, c in got} == {2}
+
+
+@pytest.mark.parametrize("kind", ["far", "one id", "no id", "wide", "empty"])
+def test_chunks_are_even_whatever_the_ids(spark, kind):
+    """Chunks keep doc_id order and hold a bounded share of the bytes, with an id far away, one id, none, or all 64 bits."""
+    n, rng = 4000, random.Random(3)
+    ids = {"far": [*range(n - 1), 1 << 40], "one id": [7] * n, "no id": [None] * n, "wide": [-(1 << 63), (1 << 63) - 1, *range(n - 2)], "empty": []}[kind]
+    d = spark.createDataFrame([(i, str(rng.random()) * 5) for i in ids], "doc_id long, text string")
+    chunk, n_chunks, total = common.chunk_of(d)
+    rows = d.select("doc_id", chunk.alias("c"), (F.octet_length("text") + 16).alias("b")).collect()
+    size = Counter()
+    for r in rows:
+        size[r.c] += r.b
+    assert all(0 <= c < n_chunks for c in size) and total == sum(size.values())
+    if rows:
+        assert len(size) >= 20 and max(size.values()) < total / 32 * 2.5
+    by_id = sorted(((r.doc_id, r.c) for r in rows if r.doc_id is not None))
+    assert all(a[1] <= b[1] or a[0] == b[0] for a, b in zip(by_id, by_id[1:]))
