@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a document-sharded positional inverted index."""
+"""Benchmark decontamination by a stored positional inverted index."""
 
 from __future__ import annotations
 
@@ -6,17 +6,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
+from .common import settle
+
 SEPARATORS = bytes(c for c in range(128) if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c)
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 TABLE = bytes(32 if FOLD[c] in SEPARATORS else FOLD[c] for c in range(256))
 WINDOW = 10
-#: The benchmark goes to the workers in blocks of at most this many bytes of text; more blocks mean more passes.
-BLOCK_BYTES = 16 << 20
-#: Text bytes that one index shard covers.
-SHARD_BYTES = 8 << 20
+#: Words by which a proximity match may be longer than its window.
+SLOP = 2
+#: Text bytes that one shard of the index covers, and bytes hashed at a time.
+SHARD_BYTES, PIECE = 4 << 20, 1 << 20
+#: Bits of the filter of terms that the workers get: of this size however many terms there are.
+FILTER_BITS = 24
+POSTINGS = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("begin", pa.binary()), ("n", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+INDEX = "shard long, ids array<long>, begin binary, n binary, terms binary, counts binary, places binary"
+FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))), ("exact", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
 
 def words(text: bytes) -> list[bytes]:
@@ -24,189 +33,230 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-class Queries:
-    """The windows of one benchmark block, as term numbers: equal windows are one query with several items."""
+def term_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its 64-bit hash, by which the index knows a term."""
+    a = np.frombuffer(data.translate(TABLE) + b" ", np.uint8)
+    space = a == 32
+    edge = np.diff(np.concatenate(([True], space)).view(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):  # piece by piece, so memory doesn't grow with the text
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE)))
+        p = X.prefix(X.BYTE[a[begin[i] : end[j - 1]]])
+        out[i:j] = X.range_hash(p, begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return begin, out
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (wid, w: term hashes in order) of all items, and which items have them (wid, item)."""
+
+    def run(batches):
+        for b in batches:
+            out: dict[tuple[str, bytes], None] = {}
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = term_hashes(t or b"")[1]
+                for i in range(max(1, len(h) - window + 1) if len(h) else 0):
+                    out[item, h[i : i + window].tobytes()] = None
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.binary())], names=["item", "w"])
+
+    named = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("t"))
+    pairs = settle(named.mapInArrow(run, "item string, w binary").distinct())
+    ids = settle(pairs.select("w").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return ids, pairs.join(ids, "w").select("wid", "item")
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int):
-        self.terms: dict[bytes, int] = {}
-        self.items: list[str] = []
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item_id, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            if not ids:
-                continue
-            n = len(self.items)
-            self.items.append(str(item_id))
-            for i in range(max(1, len(ids) - window + 1)):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(n)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for length in sorted({len(k) for k in found}):
-            ws = [k for k in found if len(k) == length]
-            self.by_length[length] = (np.array(ws, dtype=np.int32), [sorted(found[k]) for k in ws])
-
-    def search(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, set[tuple[int, int]]]:
-        """Hit flags for the tokens of a shard (-1: not a term), and (document, item) pairs.
-
-        bounds: where each document ends, with a -1 token after it, so no match crosses documents.
-        """
-        hit = np.zeros(len(tokens) + 1, np.int32)
-        pairs: set[tuple[int, int]] = set()
-        if not self.by_length:
-            return hit[:-1] > 0, pairs
-        inside = tokens >= 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-        begin, end = edge[::2], edge[1::2]
-        keep = end - begin >= min(self.by_length)
-        mark = np.zeros(len(tokens) + 1, np.int32)
-        mark[begin[keep]] += 1
-        mark[end[keep]] -= 1
-        at = np.flatnonzero(np.cumsum(mark[:-1]))
-        order = np.argsort(tokens[at], kind="stable")
-        postings, sorted_terms = at[order], tokens[at][order]
-        first = np.searchsorted(sorted_terms, np.arange(len(self.terms) + 1))
-        counts = np.diff(first)
-        for length, (windows, owners) in self.by_length.items():
-            of = counts[windows]
-            for k in np.flatnonzero((of > 0).all(axis=1)):
-                rarest = np.argsort(of[k], kind="stable")
-                start = None
-                for o in rarest:
-                    t = windows[k, o]
-                    shifted = postings[first[t] : first[t + 1]] - o
-                    if start is None:
-                        start = shifted
-                    elif len(start) * 8 < len(shifted):
-                        i = np.searchsorted(shifted, start)
-                        i[i == len(shifted)] = 0
-                        start = start[shifted[i] == start]
-                    else:
-                        start = np.intersect1d(start, shifted, assume_unique=True)
-                    if not len(start):
-                        break
-                if len(start):
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + length, -1)
-                    for d in np.unique(np.searchsorted(bounds, start, side="right")):
-                        pairs.update((int(d), i) for i in owners[k])
-        return np.cumsum(hit[:-1]) > 0, pairs
-
-
-def _pass(docs: DataFrame, block, window: int) -> DataFrame:
-    """doc_id, _h (hash of the text), n_words, spans (begin, end in words) and items for one benchmark block."""
-    schema = "doc_id long, _h long, n_words long, spans array<struct<b:int,e:int>>, items array<string>"
-    out_schema = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))])
-
-    def index(rows, q):
-        ids, lens = [], []
-        get = q.terms.get
-        for _, _, text in rows:
-            t = [get(w, -1) for w in words(text or b"")]
-            lens.append(len(t))
-            t.append(-1)
-            ids.append(np.array(t, dtype=np.int32))
-        bounds = np.cumsum([len(x) for x in ids])
-        hit, pairs = q.search(np.concatenate(ids), bounds)
-        items: dict[int, list[str]] = {}
-        for d, i in pairs:
-            items.setdefault(d, []).append(q.items[i])
-        spans = []
-        for d, (n, stop) in enumerate(zip(lens, bounds)):
-            if d in items:
-                e = np.flatnonzero(np.diff(np.concatenate(([0], hit[stop - n - 1 : stop - 1].view(np.int8), [0]))))
-                spans.append([{"b": int(b), "e": int(x)} for b, x in zip(e[::2], e[1::2])])
-            else:
-                spans.append([])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, out_schema.field("spans").type), pa.array([sorted(set(items.get(d, []))) for d in range(len(rows))], out_schema.field("items").type)], schema=out_schema)
+
+def term_filter(wins: DataFrame) -> np.ndarray:
+    """The terms of the windows as a bitmap of fixed size; a term too many only makes the index larger."""
 
     def run(batches):
-        q = Queries(block.value, window)
-        rows, size = [], 0
         for b in batches:
-            for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            h = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)) >> np.uint64(64 - FILTER_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(5)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(31))).astype(np.int64))], names=["at", "bit"])
+
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for r in wins.select("w").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit")).collect():
+        bits[r[0]] = r[1]
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+
+
+def build_index(docs: DataFrame, terms: np.ndarray | None = None, shortest: int = 1, slop: int = SLOP, longest: int = WINDOW) -> DataFrame:
+    """The postings of docs, a row per shard of about SHARD_BYTES of text: its terms, and the places of each in order.
+
+    terms: a filter (see term_filter) of the terms worth storing, else all; of these only places in spans of
+    shortest + slop words that hold `shortest` of them, as no match of so many terms can lie elsewhere. A table of this
+    form answers any benchmark made of those terms, in windows of `shortest` to `longest`, without reading the texts
+    again. Null text: no words.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def shard(rows, number):
+        ids, texts = [r[0] for r in rows], [r[1] or b"" for r in rows]
+        begin, h = term_hashes(b" ".join(texts))
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.searchsorted(begin, np.concatenate(([0], stops)))  # words before each document
+        n = np.diff(upto)
+        first = upto[:-1] + np.arange(len(n)) * (longest + slop)  # documents lie apart, so no span crosses them
+        place = np.arange(len(h)) + np.repeat(first - upto[:-1], n)
+        keep = given.value[h >> np.uint64(64 - FILTER_BITS)] if given.value is not None else np.ones(len(h), bool)
+        size, width = int(first[-1] + n[-1]) + shortest + slop, shortest + slop
+        inside = np.zeros(size + 1, np.int32)
+        inside[place[keep] + 1] = 1
+        sums = np.cumsum(inside)
+        full = np.flatnonzero(sums[width:] - sums[:-width] >= shortest)
+        mark = np.zeros(size + width + 1, np.int32)
+        mark[full] += 1
+        np.add.at(mark, full + width, -1)
+        keep &= (np.cumsum(mark) > 0)[place]
+        h, place = h[keep], place[keep]
+        order = np.argsort(h, kind="stable")
+        t, at, counts = np.unique(h[order], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (first.astype("<i8"), n.astype("<i8"), t, counts.astype("<i4"), place[order].astype("<i4")))], schema=POSTINGS)
+
+    def run(batches):
+        number, rows, size = TaskContext.get().partitionId() << 20, [], 0
+        for b in batches:
+            for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows.append(r)
-                size += len(r[2] or b"")
-                if size >= SHARD_BYTES:
-                    yield index(rows, q)
-                    rows, size = [], 0
+                size += len(r[1] or b"")
+                if size >= SHARD_BYTES or len(rows) == 1 << 19:
+                    yield shard(rows, number)
+                    number, rows, size = number + 1, [], 0
         if rows:
-            yield index(rows, q)
+            yield shard(rows, number)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").cast("binary").alias("_t")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t")).mapInArrow(run, INDEX)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word ranges hit), items (ids as sorted strings).
+def _starts(lists: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+    """Where the terms stand at their offsets: offset-adjusted lists intersected from the rarest on."""
+    start = None
+    for o in offsets[np.argsort([len(lists[o]) for o in offsets], kind="stable")]:
+        shifted = lists[o] - o
+        if start is None:
+            start = shifted
+        elif len(start) * 8 < len(shifted):
+            start = start[X.member(shifted, start) >= 0]
+        else:
+            start = np.intersect1d(start, shifted, assume_unique=True)
+        if not len(start):
+            break
+    return start
 
-    Each task builds a positional inverted index of its documents, holding postings of benchmark terms only (a bounded
-    shard at a time), and answers every window by intersecting offset-adjusted lists from the rarest term on. The
-    windows travel in blocks of bounded size; with several blocks the passes are merged by document.
-    An item_id on several benchmark rows is one item, with the windows of all its rows.
-    Null text or item: no words. Items with fewer words than a window are one window; items without words match nothing.
-    Repeated rows stay repeated; empty tables give no rows or no hits; further columns are ignored.
+
+def _near(lists: list[np.ndarray], w: np.ndarray, slop: int) -> np.ndarray:
+    """Starts of spans of len(w) + slop words that hold every term as often as the window does."""
+    width = len(w) + slop
+    _, own, times = np.unique(w, return_index=True, return_counts=True)
+    rarest = np.argsort([len(lists[o]) for o in own], kind="stable")
+    p = lists[own[rarest[0]]]
+    s = np.unique((p[:, None] - np.arange(width)[None, :]).ravel())
+    for r in rarest:
+        q, m = lists[own[r]], int(times[r])
+        i = np.searchsorted(q, s) + m - 1
+        ok = i < len(q)
+        ok[ok] = q[i[ok]] < s[ok] + width
+        s = s[ok]
+        if not len(s):
+            break
+    return s
+
+
+def search(index: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
+    """One row per indexed document: row, doc_id, n_words, spans (words in exact matches), exact, near (window ids).
+
+    Every window goes only to the shards that hold its rarest term: counts of terms come from the index, joins bring
+    windows and shards together. There the lists of its terms are intersected at their offsets, from the rarest on;
+    near windows have all their terms, as often as they need them, within len + slop words.
     """
-    sc = docs.sparkSession.sparkContext
-    blocks, now, size = [], [], 0
-    for r in benchmark.select("item_id", F.col("text").cast("binary").alias("t")).where("t is not null").toLocalIterator():
-        now.append((r[0], bytes(r[1])))
-        size += len(r[1]) + 64
-        if size >= block_bytes:
-            blocks.append(sc.broadcast(now))
-            now, size = [], 0
-    blocks.append(sc.broadcast(now)) if now or not blocks else None
-    parts = [_pass(docs, b, window) for b in blocks]
-    if len(parts) == 1:
-        return parts[0].drop("_h")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    grouped = every.groupBy("doc_id", "_h").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("_c"), F.sort_array(F.flatten(F.collect_set("spans"))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    joined = F.expr("""aggregate(_s, cast(array() as array<struct<b:int,e:int>>), (a, x) ->
-        if(size(a) > 0 and x.b <= element_at(a, -1).e,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(element_at(a, -1).e, x.e)))),
-           concat(a, array(x))))""")
-    return grouped.withColumn("spans", joined).withColumn("_i", F.explode(F.sequence(F.lit(1), (F.col("_c") / len(parts)).cast("int")))).select("doc_id", "n_words", "spans", "items")
 
+    def counted(batches):
+        for b in batches:
+            t = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            n = [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
+            if t:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in t])), pa.array(np.concatenate(n).astype(np.int64))], names=["term", "shard", "c"])
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["b"]))
-    d = find(docs, benchmark, window)
-    return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    def cut(batches):
+        for b in batches:
+            ws = b.column(1).to_pylist()
+            lens = [len(w) // 8 for w in ws]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lens)), pa.array(np.frombuffer(b"".join(ws), np.int64))], names=["wid", "term"])
+
+    lists = index.select("shard", "terms", "counts").mapInArrow(counted, "term long, shard long, c long")
+    needs = wins.select("wid", "w").mapInArrow(cut, "wid long, term long").distinct()
+    held = settle(lists.join(needs.select("term").distinct(), "term"))
+    known = needs.join(held.groupBy("term").agg(F.sum("c").alias("c")), "term", "left")
+    rarest = known.groupBy("wid").agg(F.min_by("term", F.struct("c", "term")).alias("term"), F.bool_and(F.col("c").isNotNull()).alias("all")).where("all").select("wid", "term")
+    asked = rarest.join(held.select("term", "shard"), "term").join(wins, "wid").select("shard", "wid", "w")
+
+    def answer(key, shard, asked):
+        r = {c: shard.column(c)[0].as_py() for c in POSTINGS.names}
+        begin, n = np.frombuffer(r["begin"], "<i8"), np.frombuffer(r["n"], "<i8")
+        terms, counts = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], "<i4")
+        places, edge = np.frombuffer(r["places"], "<i4").astype(np.int64), np.concatenate(([0], np.cumsum(counts)))
+        hit = np.zeros(int(begin[-1] + n[-1]) + 1, np.int32)
+        exact: dict[int, set[int]] = {}
+        near: dict[int, set[int]] = {}
+        for wid, raw in zip(asked.column("wid").to_pylist(), asked.column("w").to_pylist()):
+            w = np.frombuffer(raw, np.uint64)
+            at = X.member(terms, w)
+            if (at < 0).any():
+                continue
+            own = [places[edge[i] : edge[i + 1]] for i in at]
+            s = _near(own, w, slop)
+            if not len(s):
+                continue
+            # a span may reach before its document, never into the one before
+            for d in np.unique(np.searchsorted(begin, s + len(w) + slop - 1, side="right") - 1).tolist():
+                near.setdefault(d, set()).add(wid)
+            start = _starts(own, np.arange(len(w)))
+            if len(start):
+                np.add.at(hit, start, 1)
+                np.add.at(hit, start + len(w), -1)
+                for d in np.unique(np.searchsorted(begin, start, side="right") - 1).tolist():
+                    exact.setdefault(d, set()).add(wid)
+        hit = np.cumsum(hit) > 0
+        spans = []
+        for d in range(len(n)):
+            e = np.flatnonzero(np.diff(np.concatenate(([0], hit[begin[d] : begin[d] + n[d]].view(np.int8), [0])))) if d in exact else []
+            spans.append([{"b": int(x), "e": int(y)} for x, y in zip(e[::2], e[1::2])])
+        row = (r["shard"] << 20) + np.arange(len(n))
+        return pa.Table.from_arrays([pa.array(row), pa.array(r["ids"], pa.int64()), pa.array(n), pa.array(spans, FOUND.field("spans").type), *(pa.array([sorted(x.get(d, ())) for d in range(len(n))], pa.list_(pa.int64())) for x in (exact, near))], schema=FOUND)
 
+    schema = "row long, doc_id long, n_words long, spans array<struct<b:int,e:int>>, exact array<long>, near array<long>"
+    return index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, schema)
 
-def near_phrases(docs: DataFrame, benchmark: DataFrame, slop: int = 2, window: int = 5) -> DataFrame:
-    """Proximity matches: doc_id, item_id, hits: places where all terms of an item window stand within window + slop words.
 
-    Terms are matched through the same postings; each place is counted once, at its rarest term. For a query set that
-    fits one block.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (word ranges hit), items and near_items (ids as sorted strings).
+
+    An item_id on several benchmark rows is one item, with the windows of all its rows; rows without item_id are none.
+    Null text or item: no words. Items with fewer words than a window are one window; items without words match nothing.
+    Repeated documents stay repeated, a null doc_id is kept; empty tables give no rows or no hits; further columns are
+    ignored. Every word of a text counts, however long it is.
     """
-    sc = docs.sparkSession.sparkContext
-    q = sc.broadcast([(r[0], bytes(r[1])) for r in benchmark.select("item_id", F.col("text").cast("binary")).where("text is not null").toLocalIterator()])
+    wins, owners = windows(benchmark, window)
+    shortest = wins.agg(F.min(F.octet_length("w"))).first()[0]
+    index = settle(build_index(docs, term_filter(wins), (shortest or 8 * window) // 8, slop, window))
+    found = settle(search(index, wins, slop))
 
-    def run(batches):
-        index = Queries(q.value, window)
-        for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at: dict[int, list[int]] = {}
-                for i, w in enumerate(words(text or b"")):
-                    if (t := index.terms.get(w)) is not None:
-                        at.setdefault(t, []).append(i)
-                got: dict[int, set[int]] = {}
-                for length, (windows, owners) in index.by_length.items():
-                    for k, win in enumerate(windows.tolist()):
-                        if not all(t in at for t in win):
-                            continue
-                        rare = min(win, key=lambda t: len(at[t]))
-                        for p in at[rare]:
-                            near = [np.searchsorted(at[t], [p - length - slop + 1, p + length + slop]) for t in set(win)]
-                            if all(b > a for a, b in near):
-                                for o in owners[k]:
-                                    got.setdefault(o, set()).add(p)
-                out += [(doc, index.items[o], len(ps)) for o, ps in sorted(got.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], names=["doc_id", "item_id", "hits"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, item_id string, hits long")
+    def named(kind: str, out: str) -> DataFrame:
+        ids = found.select("row", F.explode(kind).alias("wid")).join(owners, "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias(out))
+        return ids.withColumnRenamed("row", f"of_{out}")
+
+    none = F.array().cast("array<string>")
+    d = found
+    for kind, out in (("exact", "items"), ("near", "near_items")):
+        d = d.join(named(kind, out), F.col("row") == F.col(f"of_{out}"), "left").withColumn(out, F.coalesce(out, none))
+    return d.select("doc_id", "n_words", "spans", "items", "near_items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["b"]))
+    d = find(docs, benchmark, window)
+    return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> dict:
@@ -215,7 +265,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     wins = []
     for i, t in items:
         w = words((t or "").encode())
-        wins += [(str(i), w[k : k + window]) for k in range(max(1, len(w) - window + 1)) if w]
+        wins += [(str(i), w[k : k + window]) for k in range(max(1, len(w) - window + 1)) if w and i is not None]
     for d, t in docs:
         w = words((t or "").encode())
         hit, ids = set(), set()

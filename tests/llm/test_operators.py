@@ -445,8 +445,6 @@ def test_decontamination(spark):
     want = decontaminate.brute_force([(r[0], r[1]) for r in rows], items)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(d, b).collect()}
     assert got == want and any(v[1] for v in want.values())
-    split = {r.doc_id: (r.n_words, sum(s.e - s.b for s in r.spans), len(r["items"])) for r in decontaminate.find(d, b, block_bytes=200).collect()}
-    assert split == {k: v[:3] for k, v in want.items()}
 
 
 def test_decontamination_edges(spark, empty, odd):
@@ -455,17 +453,17 @@ def test_decontamination_edges(spark, empty, odd):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate.contamination(empty, b).count() == 0
     assert decontaminate.contamination(odd, none).where("contaminated or n_items > 0").isEmpty() and decontaminate.contamination(odd, none).count() == 5
-    assert decontaminate.find(odd, b, block_bytes=200).count() == 5
+    nameless = spark.createDataFrame([(None, rows[1][1]), (3, None)], "item_id long, text string")
+    assert decontaminate.contamination(spark.createDataFrame(rows, DOCS), nameless).where("contaminated or n_near > 0").isEmpty()
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 100])
-def test_decontamination_counts_an_item_once(spark, block_bytes):
+def test_decontamination_counts_an_item_once(spark):
     rng = random.Random(10)
     a, b, c = (prose(rng, 12, 10**6) for _ in range(3))
     items = [(7, a), (7, a), (7, b), (8, b), (9, c)]
     rows = [(1, f"{a} between {b}"), (2, b), (3, "clean")]
     d, q = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    got = {r.doc_id: list(r["items"]) for r in decontaminate.find(d, q, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.find(d, q).collect()}
     assert got == {1: ["7", "8"], 2: ["7", "8"], 3: []}
 
 
@@ -476,10 +474,32 @@ def test_repeated_items_in_contamination(spark):
     assert got == decontaminate.brute_force(rows, items)
 
 
-def test_near_phrases(spark):
-    d = spark.createDataFrame([(1, "b a x c e d"), (2, "a b"), (3, None)], "doc_id long, text string")
-    b = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.near_phrases(d, b).collect()] == [(1, "7")]
+def test_proximity_by_brute_force(spark):
+    """Windows in any order with up to SLOP other words between, each term as often as it stands in the window."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.choice([3, 5, 7]), 12)) for i in range(8)]
+    rows = [(i, prose(rng, rng.choice([0, 2, 6, 40]), 14)) for i in range(80)] + [(90, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in rows:
+        w = decontaminate.words((t or "").encode())
+        want[i] = sorted({str(k) for k, x in items for q in [decontaminate.words(x.encode())] for a in range(max(1, len(q) - 4)) for win in [q[a : a + 5]] for s in range(-7, len(w)) if not Counter(win) - Counter(w[max(s, 0) : max(0, s + len(win) + decontaminate.SLOP)])})
+    got = {r.doc_id: list(r.near_items) for r in decontaminate.find(d, b, window=5).collect()}
+    assert got == want and any(want.values())
+
+
+def test_index_answers_other_benchmarks(spark, monkeypatch):
+    """One stored index of small shards and all terms, two benchmarks, very long documents beside empty ones."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    rng = random.Random(22)
+    rows = [(i, prose(rng, rng.choice([0, 3, 400]), 10**6)) for i in range(30)] + [(31, prose(rng, 30_000, 50))]
+    index = settle(decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    for k in (3, 5):
+        source = [t for _, t in rows if t and len(t.split()) > 20][k]
+        wins, owners = decontaminate.windows(spark.createDataFrame([(k, " ".join(source.split()[2:14]))], "item_id long, text string"))
+        got = decontaminate.search(index, wins).where("size(exact) > 0").collect()
+        assert [(r.doc_id, [(s.b, s.e) for s in r.spans]) for r in got] == [(next(i for i, t in rows if t == source), [(2, 14)])]
 
 
 # 10
