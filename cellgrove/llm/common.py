@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def tie() -> Column:
+    """The hash of a text that orders rows of one doc_id: 31 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33)
+
+
+def ordered(ids: list[int | None], texts: list[bytes]) -> list[int]:
+    """The places of rows in order: by id, without one last; equal ids by the hash of the text, then by the text."""
+    times = Counter(ids)
+    own = lambda t: (xxhash.xxh64_intdigest(t, 42) >> 33, t)
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, *(own(texts[i]) if times[ids[i]] > 1 else ())))
+
+
 def chunk_of(docs: DataFrame, target_bytes: int = 4 << 20, least: int = 32, bins: int = 2048) -> tuple[Column, int, int]:
     """A column that numbers chunks of about target_bytes in ascending doc_id order, the number of chunks, and all bytes.
 
     Chunks are ranges of doc_id. The driver sees the bytes of at most `bins` equal ranges and splits each evenly; ranges
     that are filled unevenly (the worst 64 of a level) get their own, tighter ranges, so ids far apart from all others
     don't matter. One id with more than a chunk of rows, and rows without an id, are split by a hash of the text; rows
-    without an id come last.
+    without an id come last. Within equal ids the order is by that hash, then by text (see `ordered`).
     """
     b = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     key = F.col("doc_id").cast("decimal(20,0)")
-    hashed = F.shiftrightunsigned(F.xxhash64("text"), 33) / F.lit(float(1 << 31))
+    hashed = tie() / F.lit(float(1 << 31))
     lo, hi, total, loose = docs.agg(F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum(b), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), b)), F.lit(0))).first()
     target = max(1, min(target_bytes, total // least))
 

@@ -9,6 +9,8 @@ from .common import settle, word_count
 
 BLOCK_TOKENS = 16
 SHARD_TOKENS = 1 << 20
+#: A source has this many shards at most; beyond, they grow.
+MOST_SHARDS = 1 << 16
 SEED = 17
 
 
@@ -69,9 +71,12 @@ def targets(sources: DataFrame, cap: float = 3.0) -> DataFrame:
 def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, shard, taken.
 
-    Each source is split into shards of about shard_tokens by a hash of doc_id, so that a hot source is many tasks.
-    Blocks of block_tokens go to the sources, then to each source's shards, by highest quotient. Within a shard every
-    document is taken as often as all fit, and a seeded order takes the rest; no document beyond 3 times its size.
+    Each source is split into shards of about shard_tokens by a hash of doc_id, so that a hot source is many tasks (one
+    for its at most MOST_SHARDS shard totals; sources are few, their totals meet in one task). Blocks of block_tokens
+    go to the sources, then to each source's shards, by highest quotient. A shard's documents stand in seeded order and
+    are cut into blocks; it is taken as a whole as often as its quota allows, and of the rest so many blocks as fit
+    come from a seeded, evenly spaced choice. So a document is taken by whole blocks, parts of which may lie in the
+    documents beside it, and never beyond 3 times its size.
     Null text counts 0 words; a null source is a source of its own, last; repeated rows are rows of their own; an
     empty table gives an empty result. Further columns are ignored.
     """
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = BLOCK_T
     total = Window.partitionBy(F.lit(0))
     aimed = targets(sources).withColumn("_seats", F.round(F.sum("target").over(total) / block_tokens).cast("long"))
     aimed = sainte_lague(aimed, [], ["source"], "target", "_seats", "_blocks").drop("_seats")
-    aimed = settle(aimed.withColumn("_shards", F.greatest(F.ceil(F.col("source_size") / shard_tokens), F.lit(1))))
+    aimed = settle(aimed.withColumn("_shards", F.greatest(F.least(F.ceil(F.col("source_size") / shard_tokens), F.lit(MOST_SHARDS)), F.lit(1))))
     src = aimed.select(F.col("source").alias("_source"), "source_size", "target", "_blocks", "_shards")
     placed = sized.join(src, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).cast("int"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("_z"), F.first("_blocks").alias("_blocks"))
@@ -89,6 +94,18 @@ def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = BLOCK_T
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = placed.join(quotas, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qh")))
     times = F.when(F.col("_z") > 0, F.floor(F.col("_need") / F.col("_z"))).otherwise(F.lit(0))
-    d = d.withColumn("_times", times).withColumn("_left", F.col("_need") - F.col("_times") * F.col("_z")).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = F.greatest(F.least(F.col("_left") - F.col("_before"), F.col("size")), F.lit(0))
+    d = d.withColumn("_times", times).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    blocks = F.ceil(F.col("_z") / block_tokens)
+    d = d.withColumn("_all", F.greatest(blocks, F.lit(1))).withColumn("_some", F.least(F.round((F.col("_need") - F.col("_times") * F.col("_z")) / block_tokens).cast("long"), blocks))
+    # the place of the first chosen block comes from the seed; the last, shorter one is only taken with all others
+    spare = F.greatest(F.col("_all") - F.col("_some"), F.lit(1))
+    d = d.withColumn("_u", F.when(F.col("_some") < F.col("_all"), F.col("_some") + F.pmod(F.xxhash64("source", "shard", F.lit(seed)), spare)).otherwise(F.lit(0)))
+    part = _taken_before(F.col("_before") + F.col("size"), block_tokens) - _taken_before(F.col("_before"), block_tokens)
     return d.select("doc_id", "source", "size", "source_size", "target", "shard", (F.col("_times") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def _taken_before(place: Column, block: int) -> Column:
+    """The words before a place of a shard that lie in chosen blocks: block j is chosen where (j * _some + _u) div _all steps up."""
+    j = F.floor(place / block)
+    step = lambda k: F.floor((k * F.col("_some") + F.col("_u")) / F.col("_all"))
+    return block * step(j) + (step(j + 1) - step(j)) * (place - j * block)

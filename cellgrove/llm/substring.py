@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import chunk_of
+from .common import chunk_of, ordered
 
 WINDOW = 20
 #: Hashes that a bucket holds at most, about.
@@ -31,8 +31,9 @@ class Chunk:
 
     def __init__(self, table: pa.Table, window: int):
         ids, texts = table.column("doc_id").to_pylist(), table.column("t").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
+        texts = [t or b"" for t in texts]
+        order = ordered(ids, texts)
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         data = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
         space = SPACE[data]
         edge = np.diff(np.concatenate(([True], space)).view(np.int8))
@@ -78,7 +79,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     index, spread over hash buckets; every rolling window of that length probes it, so whatever two equal windows
     share, each of them has a hit. 2. Around the hits, the windows of full length are compared by 64-bit hash, each
     chunk learning which of its own an earlier chunk has; adjoining repeats make maximal spans.
-    Null or empty text: no words. Texts shorter than a window keep all words. Equal doc_ids go by text; a repeated row
+    Null or empty text: no words. Texts shorter than a window keep all words. Equal doc_ids go by a hash of the text; a repeated row
     is a copy of the one before; a null doc_id comes last. Empty tables give no rows; further columns are ignored.
     """
     chunk, _, total = chunk_of(docs)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import chunk_of
+from .common import chunk_of, ordered
 from .substring import SENT, _joined, _send, _sent
 from .suffix_array import common_prefixes, suffix_array
 
@@ -30,8 +30,9 @@ class Chunk:
 
     def __init__(self, table: pa.Table, length: int, gram: int):
         ids, texts = table.column("doc_id").to_pylist(), table.column("t").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
+        texts = [t or b"" for t in texts]
+        order = ordered(ids, texts)
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.lens = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.stops = np.cumsum(self.lens)
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -107,7 +108,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     and takes the permuted common prefixes; where neighbours share `length` bytes, all but the earliest go.
     An anchor in more than HOT different texts is settled by hashes of its strings instead, which have no such limit
     and need no shard of their own.
-    Null text: no bytes. Texts shorter than `length` stay. Equal doc_ids go by text; a repeated row is a copy of the
+    Null text: no bytes. Texts shorter than `length` stay. Equal doc_ids go by a hash of the text; a repeated row is a copy of the
     one before; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
     chunk, _, total = chunk_of(docs, CHUNK_BYTES)

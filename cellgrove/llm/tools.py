@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
-#: For each tool its properties: type (of the JSON value) and whether it is required.
-SCHEMAS = {"reply": {"prompt": ("STRING", True)}}
+#: For each tool the JSON schema of its arguments: type, properties, required, additionalProperties, items, enum.
+SCHEMAS = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}}, "required": ["prompt"], "additionalProperties": False}}
+#: What the types of JSON schemas are called for a variant.
+TYPES = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "integer": "BIGINT|DECIMAL\\(\\d+,0\\)", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
 CALL = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 RESULT = "tool_call_id string, content string"
 
@@ -17,7 +21,7 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls (conv_id, turn, call_id, name, arguments, after) and results (conv_id, turn, call_id, content).
 
     Assistant texts of the form {"tool_calls": [...]} hold calls, tool texts {"tool_call_id": ..., "content": ...}
-    results; what is no such JSON holds none.
+    results; what is no such JSON holds none, nor do null texts and roles. Null turns and identifiers are kept.
     """
     calls = messages.where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json("text", CALL).tool_calls).alias("c"))
     calls = calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
@@ -52,50 +56,70 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             now = settle(now.join(up, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
         return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
     done = settle(known.join(need, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    rounds = 0
     while True:
         level = done.withColumnRenamed("call_id", "needs").withColumnRenamed("level", "below")
         ready = need.join(level, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg((F.max("below") + 1).alias("level"), F.bool_and(F.col("below").isNotNull()).alias("all"))
         more = settle(ready.where("all").drop("all").join(done, ["conv_id", "call_id"], "left_anti"))
         if more.isEmpty():
             break
-        done = settle(done.unionByName(more))
+        done, rounds = done.unionByName(more), rounds + 1
+        if rounds % 16 == 0:  # each round is kept once; now and then they become one table
+            done = settle(done)
     return known.join(done, ["conv_id", "call_id"], "left")
 
 
+def conforms(v: Column, schema: dict) -> Column:
+    """Whether a variant follows a schema; without a type anything does. Null (no value at all) conforms to nothing."""
+    ok = v.isNotNull()
+    if "type" in schema:
+        ok = ok & F.schema_of_variant(v).rlike(f"(?s)^({TYPES[schema['type']]})$")
+    if "enum" in schema:
+        ok = ok & F.to_json(v).isin(*[json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]])
+    if schema.get("type") == "array" and "items" in schema:
+        ok = ok & F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda e: conforms(e, schema["items"]))
+    if schema.get("type") == "object":
+        keys, props = F.json_object_keys(F.to_json(v)), schema.get("properties", {})
+        if schema.get("additionalProperties") is False:
+            ok = ok & (F.size(F.array_except(keys, F.array(*map(F.lit, props)).cast("array<string>"))) == 0)
+        for p in schema.get("required", []):
+            ok = ok & F.array_contains(keys, p)
+        for p, inner in props.items():
+            ok = ok & (~F.array_contains(keys, p) | conforms(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(p)), inner))
+    return F.coalesce(ok, F.lit(False))
+
+
 def valid(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
-    """Whether the tool is known and its arguments are a JSON object with the required properties, all of their types and no others."""
-    v = F.try_parse_json(arguments)
-    out = F.lit(False)
-    for tool, props in schemas.items():
-        keys = F.json_object_keys(arguments)
-        ok = F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, props)))) == 0, F.lit(False))
-        for p, (kind, required) in props.items():
-            is_kind = F.schema_of_variant(F.variant_get(v, f"$.{p}", "variant")) == kind
-            has = F.array_contains(keys, p)
-            ok = ok & (F.coalesce(has & is_kind, F.lit(False)) if required else F.coalesce(~has | is_kind, F.lit(False)))
-        out = F.when(name == tool, ok).otherwise(out)
+    """Whether the tool is known and its arguments are JSON that conforms to its schema."""
+    v, out = F.try_parse_json(arguments), F.lit(False)
+    for tool, schema in schemas.items():
+        out = F.when(name == tool, conforms(v, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """One row per call: conv_id, turn, call_id, level, status, record (canonical JSON).
 
-    status: duplicate (an earlier turn made the call), cycle, unknown_tool, invalid_arguments, unanswered, else ok. Of
-    several results the earliest counts. Calls without an id are never answered. Records have sorted keys and no
-    spaces, arguments too (as text where they are not JSON). Results without a call are left out; see orphans.
+    status: duplicate (an earlier turn made the call, or one of the same turn that comes first by name and arguments;
+    it takes no result), cycle, unknown_tool, invalid_arguments, unanswered, else ok. Of several results the earliest
+    counts. Calls without an id are never answered; a null turn comes first; a null conversation has no links. Records
+    have sorted keys and no spaces, arguments too (as text where they are not JSON). Results without a call are left
+    out; see orphans. Empty tables give no rows; further columns are ignored.
     """
-    firsts = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("first"))
+    calls = settle(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after").withColumn("_row", F.monotonically_increasing_id()))
+    firsts = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "_row"))["_row"].alias("first"))
     answers = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("a")).select("conv_id", "call_id", F.col("a.content").alias("result"), F.lit(True).alias("answered"))
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs"))
     order = levels(calls, edges)
     d = calls.join(firsts, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
     known = F.coalesce(F.col("name").isin(*schemas), F.lit(False))
     status = (
-        F.when(F.col("turn") > F.col("first"), "duplicate").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle").when(~known, "unknown_tool")
+        F.when(F.col("_row") != F.col("first"), "duplicate").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle").when(~known, "unknown_tool")
         .when(~valid(F.col("name"), F.col("arguments"), schemas), "invalid_arguments").when(F.col("answered").isNull(), "unanswered").otherwise("ok")
     )
     parsed = F.try_parse_json("arguments")
-    fields = [F.col("call_id"), F.col("level"), F.col("name"), F.col("result")]
+    own = F.when(F.coalesce(F.col("_row") == F.col("first"), F.lit(False)), F.col("result"))
+    fields = [F.col("call_id"), F.col("level"), F.col("name"), own.alias("result")]
     as_json = F.to_json(F.struct(parsed.alias("arguments"), *fields))
     as_text = F.to_json(F.struct("arguments", *fields))
     return d.select("conv_id", "turn", "call_id", "level", status.alias("status"), F.when(parsed.isNotNull(), as_json).otherwise(as_text).alias("record"))
