@@ -118,3 +118,20 @@ def chunk_of(docs: DataFrame, target_bytes: int = 4 << 20, least: int = 32, bins
     spare = max(1, -(-loose // target))
     last = F.lit(count) + F.least(F.floor(hashed * spare), F.lit(spare - 1)).cast("int")
     return F.when(F.col("doc_id").isNull(), last).otherwise(chunk).cast("int"), count + spare, int(total)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id and doc (a struct of all columns): id is doc_id where it is unique, else a number above all doc_ids.
+
+    Rows that share a doc_id or have none are kept once, as their numbers must not change; usually there are none.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    of = F.col("doc_id").cast("long")
+    repeated = settle(docs.where("doc_id is not null").groupBy(of.alias("again")).count().where("count > 1").select("again"))
+    most, nameless = docs.agg(F.coalesce(F.max(of), F.lit(0)), F.count_if(of.isNull())).first()
+    if not nameless and repeated.isEmpty():
+        return docs.select(of.alias("id"), doc)
+    packed = docs.select(of.alias("id"), doc)
+    twice = packed.join(repeated, F.col("id") == F.col("again"), "left_semi").unionByName(packed.where("id is null"))
+    numbered = settle(twice.withColumn("id", F.lit(most + 1) + F.monotonically_increasing_id()))
+    return packed.where("id is not null").join(repeated, F.col("id") == F.col("again"), "left_anti").unionByName(numbered)
