@@ -17,12 +17,14 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH = 100
 #: Bytes of an anchor: the anchor of a string is its gram of this length with the least hash, the leftmost of equals.
 GRAM = 32
-#: Different texts around one anchor that still go to a suffix array; beyond, strings are compared by 64-bit hash.
+#: Different texts around one anchor that still go to one shard; beyond, its strings are dealt by the bytes around it.
 HOT = 20_000
+#: Places of the anchor in its strings that then stay together; all of them have length - STRIDE + 1 bytes in common.
+STRIDE = 9
 BUCKET_ANCHORS = 100_000
 CHUNK_BYTES = 1 << 20
 PLACE_BITS = 24
-KEYS, TEXTS, HASHES, FLAGS1, FLAGS2, SEEN, LATER, SHARED, REPLY3, REPLY4, CONTENTS = range(11)
+KEYS, TEXTS, FLAGS1, FLAGS2, SEEN, LATER, SHARED, REPLY3, REPLY4, CONTENTS = range(10)
 
 
 class Chunk:
@@ -74,6 +76,25 @@ class Chunk:
         del g, anchor, ok, new
         self.content = X.mix(X.range_hash(self.p, self.begin, self.end + length - 1) ^ (self.anchor - self.begin).astype(np.uint64))
 
+    def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The chosen segments cut by the place of the anchor in their strings: begin, end, key, and whether a run before
+        it in this chunk is the same. The key is of the bytes that all strings of a run have in common."""
+        none = np.zeros(0, np.int64)
+        if not chosen.any():
+            return none, none, none.astype(np.uint64), none.astype(bool)
+        seg = np.flatnonzero(chosen)
+        counts = self.end[seg] - self.begin[seg]
+        start = np.repeat(self.begin[seg] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        of, place = np.repeat(seg, counts), np.repeat(self.anchor[seg], counts) - start
+        group = place // STRIDE
+        cut = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (group[1:] != group[:-1]))))
+        begin, end, anchor, group = start[cut], start[np.append(cut[1:], len(start)) - 1] + 1, self.anchor[of[cut]], group[cut]
+        shared = anchor - group * STRIDE
+        key = X.mix(X.range_hash(self.p, shared, shared + self.length - STRIDE + 1) + group.astype(np.uint64))
+        content = X.mix(X.range_hash(self.p, begin, end + self.length - 1) ^ (anchor - begin).astype(np.uint64))
+        _, _, first, inverse = _pairs(key, content)
+        return begin, end, key, first[inverse] != np.arange(len(key))
+
     @staticmethod
     def _anchors(g, a, b, width):
         low = g[a : b + width - 1] & ~np.uint64((1 << PLACE_BITS) - 1)
@@ -106,8 +127,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     share an anchor with different ones go to the shard of that anchor, in order. A shard classifies the suffixes of
     their joint text, sorts and names the leftmost smaller substrings, orders the reduced text, induces all suffixes
     and takes the permuted common prefixes; where neighbours share `length` bytes, all but the earliest go.
-    An anchor in more than HOT different texts is settled by hashes of its strings instead, which have no such limit
-    and need no shard of their own.
+    An anchor in more than HOT different texts is no key for one shard: its strings are cut by the place that the
+    anchor has in them and dealt by the bytes that such strings have in common, so that they spread over all shards.
     Null text: no bytes. Texts shorter than `length` stay. Equal doc_ids go by a hash of the text; a repeated row is a copy of the
     one before; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
@@ -158,7 +179,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         return _sent(out)
 
     def state(c: Chunk, replies):
-        """Of each segment: whether it repeats an earlier one, goes to a suffix array, or is settled by hashes."""
+        """Of each segment: whether it repeats an earlier one, goes to a suffix array, or goes there in runs."""
         n = len(c.key)
         repeat, shard, hot = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         if flags := [p for _, k, p in replies if k == FLAGS1]:
@@ -177,33 +198,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         out = []
         if repeat.any() or shard.any() or hot.any():
             out.append((n % buckets, n, FLAGS2, X.bits_of(np.concatenate((repeat, shard, hot)))))
-        at = np.flatnonzero(shard)
-        bucket = X.bucket_of(c.key[at], buckets, 64)
+        begin, end, bucket, _ = sent_runs(c, shard, hot)
         order = np.argsort(bucket, kind="stable")
         for b in np.unique(bucket):
-            own = at[order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]]
-            text = b"".join(c.data[i : j + length - 1].tobytes() for i, j in zip(c.begin[own], c.end[own]))
-            out.append((int(b), n, TEXTS, len(own).to_bytes(4, "little") + (c.end[own] - c.begin[own]).astype("<u4").tobytes() + text))
-        if hot.any():
-            out += _send(n, HASHES, np.unique(X.grams(c.p, length)[_inside(c, hot)]), buckets, 64)
+            own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]
+            text = b"".join(c.data[i : j + length - 1].tobytes() for i, j in zip(begin[own], end[own]))
+            out.append((int(b), n, TEXTS, len(own).to_bytes(4, "little") + (end[own] - begin[own]).astype("<u4").tobytes() + text))
         return _sent(out)
 
-    def _inside(c: Chunk, chosen: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.arange(i, j) for i, j in zip(c.begin[chosen], c.end[chosen])] or [np.zeros(0, np.int64)])
+    def sent_runs(c: Chunk, shard: np.ndarray, hot: np.ndarray):
+        """Begin, end and bucket of what goes to the suffix arrays, and the hot runs that repeat one of this chunk."""
+        begin, end, key, again = c.runs(hot)
+        whole = [np.concatenate((x[shard], y[~again])) for x, y in ((c.begin, begin), (c.end, end), (c.key, key))]
+        return whole[0], whole[1], X.bucket_of(whole[2], buckets, 64), (begin[again], end[again])
 
     def sort(table):
         rows = sorted(_rows(table), key=lambda r: r[1])
         out = [r for r in rows if r[2] == FLAGS2]
-        hashes = [(r[1], X.unpack(r[3])) for r in rows if r[2] == HASHES]
-        if hashes:
-            h = np.concatenate([x for _, x in hashes])
-            order = np.argsort(h, kind="stable")
-            later = np.zeros(len(h), bool)
-            later[order[1:]] = h[order[1:]] == h[order[:-1]]
-            e = 0
-            for n, x in hashes:
-                a, e = e, e + len(x)
-                out.append((rows[0][0], n, REPLY4, X.bits_of(later[a:e])))
         texts = [r for r in rows if r[2] == TEXTS]
         if texts:
             t, starts = [], []
@@ -248,19 +259,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             repeat, shard, hot = X.flags_of(flags[0], 3 * n).reshape(3, n)
             np.add.at(dup, c.begin[repeat], 1)
             np.add.at(dup, c.end[repeat] + length - 1, -1)
-            at = np.flatnonzero(shard)
-            bucket = X.bucket_of(c.key[at], buckets, 64)
+            begin, end, bucket, again = sent_runs(c, shard, hot)
+            np.add.at(dup, again[0], 1)
+            np.add.at(dup, again[1] + length - 1, -1)
             single = []
             for b, k, p in got:
                 if k == REPLY3:
-                    place = _inside(c, at[bucket == b])
+                    own = bucket == b
+                    place = np.concatenate([np.arange(i, j) for i, j in zip(begin[own], end[own])])
                     single.append(place[X.flags_of(p, len(place))])
-            if hot.any():
-                place = _inside(c, hot)
-                h = X.grams(c.p, length)[place]
-                distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-                later = _joined([r for r in got if r[1] == REPLY4], distinct, buckets, 64, REPLY4)
-                single.append(place[later[inverse] | (where[inverse] != np.arange(len(h)))])
             if single:
                 s = np.concatenate(single)
                 np.add.at(dup, s, 1)

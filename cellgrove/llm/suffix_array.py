@@ -6,6 +6,9 @@ import numpy as np
 
 from . import exchange as X
 
+#: Names of a reduced text that are still sorted bucket by bucket.
+BUCKETS = 4096
+
 
 def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, begin, end) of the runs of an ascending array."""
@@ -24,7 +27,13 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> n
         seeds[c].append(lms[order[a:b]])
     larger: list[list[np.ndarray]] = [[] for _ in range(size)]
 
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else lms[:0]
+
     def deal(found: np.ndarray, into: list[list[np.ndarray]], own: int) -> list[np.ndarray]:
+        """Into the buckets of their values, in order; those of the own bucket are given back instead."""
+        if not len(found):
+            return []
         chars = t[found]
         order = np.argsort(chars, kind="stable")
         same = []
@@ -34,35 +43,26 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> n
         return same
 
     for c in range(size):
-        now = larger[c]
-        k = 0
-        while k < len(now):  # what falls into this bucket itself comes after what is there
-            p = now[k][now[k] > 0] - 1
-            k += 1
-            p = p[~smaller[p]]
-            if len(p):
-                now += deal(p, larger, c)
-        for part in seeds[c]:
-            p = part[part > 0] - 1
-            p = p[~smaller[p]]
-            if len(p):
-                deal(p, larger, -1)
+        wave = larger[c]
+        while wave:  # what falls into this bucket itself comes after what is there
+            p = joined(wave)
+            p = p[p > 0] - 1
+            wave = deal(p[~smaller[p]], larger, c)
+            larger[c] += wave
+        p = joined(seeds[c])
+        p = p[p > 0] - 1
+        deal(p[~smaller[p]], larger, -1)
     lesser: list[list[np.ndarray]] = [[] for _ in range(size)]  # each from the right
     for c in range(size - 1, -1, -1):
-        now = lesser[c]
-        k = 0
-        while k < len(now):
-            p = now[k][now[k] > 0] - 1
-            k += 1
-            p = p[smaller[p]]
-            if len(p):
-                now += deal(p, lesser, c)
-        for part in reversed(larger[c]):
-            p = part[::-1]
+        wave = lesser[c]
+        while wave:
+            p = joined(wave)
             p = p[p > 0] - 1
-            p = p[smaller[p]]
-            if len(p):
-                deal(p, lesser, -1)
+            wave = deal(p[smaller[p]], lesser, c)
+            lesser[c] += wave
+        p = joined(larger[c])[::-1]
+        p = p[p > 0] - 1
+        deal(p[smaller[p]], lesser, -1)
     empty = np.zeros(0, np.int32)
     return np.concatenate([x for c in range(size) for x in (*larger[c], *[y[::-1] for y in reversed(lesser[c])])] or [empty])
 
@@ -72,7 +72,8 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
 
     Suffixes are classified as smaller or larger than the next; the leftmost smaller ones cut the text into substrings,
     which one induction sorts and names. The reduced text of names is the recursive problem: its suffixes are ordered
-    by doubling the names compared, as its alphabet is too large to go by bucket. A last induction gives all suffixes.
+    the same way while its names are no more than BUCKETS, else by doubling the names compared, as a large alphabet
+    leaves too little in a bucket. A last induction gives all suffixes.
     """
     n = len(t)
     if n == 0:
@@ -99,6 +100,8 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     rank = np.empty(len(lms), np.int64)
     rank[at] = np.cumsum(new)
     step, names = 1, int(new.sum())
+    if names < len(lms) and names <= BUCKETS:
+        return _with_end(t, smaller, lms[suffix_array(rank - 1)], size)
     while names < len(lms) and (depth is None or step <= depth):
         after = np.zeros(len(lms), np.int64)
         after[:-step] = rank[step:] if step < len(lms) else 0

@@ -296,10 +296,33 @@ def test_suffix_array():
     assert len(suffix_array.suffix_array(np.zeros(0, np.uint8))) == 0
 
 
+@pytest.mark.parametrize("kind", ["bytes", "two", "runs", "copies", "large alphabet", "squares", "fibonacci"])
+def test_suffix_array_of_long_texts(kind, monkeypatch):
+    """Recursion over names, and doubling where there are too many, on 1e5 symbols: neighbours in the array are in order."""
+    n, rng = 100_000, np.random.default_rng(4)
+    depth, inner = [0], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda *a: depth.__setitem__(0, depth[0] + 1) or inner(*a))
+    fibonacci = [b"a", b"ab"]
+    while len(fibonacci[-1]) < n:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    t = {
+        "bytes": lambda: rng.integers(0, 256, n), "two": lambda: rng.integers(0, 2, n), "runs": lambda: np.repeat(rng.integers(0, 4, n // 500), 500), "copies": lambda: np.tile(rng.integers(0, 30, 997), 100),
+        "large alphabet": lambda: rng.integers(0, 30_000, n), "squares": lambda: np.concatenate([x := rng.integers(0, 9, n // 2), x]), "fibonacci": lambda: np.frombuffer(fibonacci[-1][:n], np.uint8) - 97,
+    }[kind]()
+    sa = suffix_array.suffix_array(t)
+    rank = np.full(len(t) + 1, -1)
+    rank[sa] = np.arange(len(t))
+    assert (np.sort(sa) == np.arange(len(t))).all()
+    a, b = sa[:-1], sa[1:]  # each suffix is below the next by its first value, then by the order of what follows
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+    assert depth[0] > 1 or kind in ("large alphabet", "bytes", "runs", "copies", "squares", "two")
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_suffix(docs, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(suffix, "HOT", 1)
+        monkeypatch.setattr(suffix, "HOT", 1)  # every shared anchor is dealt by the bytes around it
+        monkeypatch.setattr(suffix.Chunk, "runs", lambda self, chosen, real=suffix.Chunk.runs: used.append(chosen.any()) or real(self, chosen))
     want = suffix.brute_force(PAIRS)
     for r in suffix.repeats(docs).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
