@@ -21,21 +21,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (u, v); the root is the component's smallest node.
 
-    Each round roughly squares the reach of a root; no group is ever gathered, only its minimum.
+    Each round roughly squares the reach of a root, until none changes anything; no group is ever gathered, only its
+    minimum.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    mark = None
-    for _ in range(most):
-        now = settle(_small(_large(now)))
+    mark, seen = None, ()
+    while seen != mark:
+        now, mark = settle(_small(_large(now))), seen
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     if not mark[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

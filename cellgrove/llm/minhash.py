@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             found = _verify(_prune(pairs, sigs, needs), sets, num, den)
         else:
             found = _across(now, sigs, sets, roots, needs, num, den)
-        roots = components(found) if roots is None else settle(joined(roots, settle(found)))
+        roots = settle(components(found) if roots is None else joined(roots, settle(found)))
     rep = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     label = rep.groupBy("root").agg(F.min("rep").alias("component"))
     of = rep.join(label, "root").select(F.col("cid").alias("_cid"), "component")
@@ -229,7 +229,7 @@ def _own(texts: DataFrame, width: int) -> DataFrame:
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(X.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
                 key = X.mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
                 own = np.flatnonzero(key == part)
-                s = [X.pack(np.unique(h[cut[i] : cut[i + 1]] >> np.uint64(16))) for i in own]
+                s = [X.pack(h[cut[i] : cut[i + 1]]) for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(part[own]), pa.array(s, pa.binary())], names=["cid", "s"])
 
     d = texts.select("cid", F.col("text").cast("binary").alias("t")).mapInArrow(run, "cid long, s binary")
@@ -239,10 +239,11 @@ def _own(texts: DataFrame, width: int) -> DataFrame:
 def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame | None, needs, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes of one bucket but different components, compared pair by pair.
 
-    Each open bucket goes to its largest component, so that a component meets all its strangers in one place however
-    many bands they share; a place of m classes is m / BLOCK blocks, and each pair of blocks is a group of its own.
-    Signatures prune, full sets decide, and of the links found
-    only those come out that join what the others don't.
+    Each open bucket goes to its largest component, the hub, so that a component meets all its strangers in one place
+    however many bands they share. Strangers meet the hub's members, and each other; the hub's members never meet. Both
+    are cut into blocks of BLOCK, and each pair of blocks is a group of its own, so a hub of any size costs one row a
+    member for each block of strangers. Signatures prune, full sets decide, and of the links found only those come out
+    that join what the others don't.
     """
     if roots is None:
         d = now.withColumn("m", F.lit(1).cast("long"))
@@ -251,16 +252,22 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
         d = now.join(size, "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     hub = d.groupBy("k").agg(F.max(F.struct("m", "root"))["root"].alias("hub"))
     d = settle(d.join(hub, "k").select("hub", "cid", "root").distinct())
-    n = d.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    d = d.join(n, "hub").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
-    d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    d = d.select("hub", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "root")
-    d = d.join(sigs, "cid").join(sets, "cid").select("hub", "i", "j", "b", "cid", "root", "sig", "s")
+    at_home = F.col("root") == F.col("hub")
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    n = d.groupBy("hub").agg(blocks(at_home).alias("homes"), blocks(~at_home).alias("others"))
+    d = d.join(n, "hub").withColumn("home", at_home).withColumn("b", F.pmod(F.xxhash64("cid"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda c: F.transform(F.sequence(F.lit(0), F.col(c)), lambda x: x - 1)
+    row = lambda mixed, i, j: F.struct(F.lit(mixed).alias("mixed"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    with_others = F.transform(F.filter(upto("others"), lambda x: x >= 0), lambda x: row(True, x, F.col("b")))
+    with_homes = F.transform(F.filter(upto("homes"), lambda x: x >= 0), lambda x: row(True, F.col("b"), x))
+    among = F.transform(F.filter(upto("others"), lambda x: x >= 0), lambda x: row(False, F.least("b", x), F.greatest("b", x)))
+    d = d.withColumn("g", F.explode(F.when(F.col("home"), with_others).otherwise(F.concat(with_homes, among)))).select("hub", "g.*", "b", "home", "cid", "root")
+    d = d.join(sigs, "cid").join(sets, "cid").select("hub", "mixed", "i", "j", "b", "home", "cid", "root", "sig", "s")
 
     def run(table):
         b, cid, root = (table.column(c).to_numpy() for c in ("b", "cid", "root"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        hub = table.column("hub")[0].as_py()
+        mixed, i, j = (table.column(c)[0].as_py() for c in ("mixed", "i", "j"))
+        home = np.array(table.column("home").to_pylist(), bool)
         sig = _small(table.column("sig").to_pylist())
         shingles = [X.unpack(x) for x in table.column("s").to_pylist()]
         lens = np.array([len(x) for x in shingles])
@@ -276,8 +283,8 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
             return x
 
         us, vs = [], []
-        for x in np.flatnonzero(root != hub):
-            other = np.flatnonzero((root != root[x]) & ((root == hub) | (cid > cid[x])) & ((i == j) | (b != b[x])))
+        for x in np.flatnonzero(~home):
+            other = np.flatnonzero(home if mixed else (root != root[x]) & (cid > cid[x]) & ((i == j) | (b != b[x])))
             fits = (den * np.minimum(lens[other], lens[x]) >= num * np.maximum(lens[other], lens[x]))
             other = other[fits]
             if not len(other):
@@ -297,7 +304,7 @@ def _across(now: DataFrame, sigs: DataFrame, sets: DataFrame, roots: DataFrame |
                     vs.append(max(cid[x], cid[y]))
         return pa.Table.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return d.groupBy("hub", "i", "j").applyInArrow(run, "u long, v long")
+    return d.groupBy("hub", "mixed", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def _bytes(sigs: DataFrame) -> DataFrame:

@@ -686,3 +686,50 @@ def test_schemas(spark):
     cases = {'{"k":"a"}': True, '{"k":3,"xs":[1,2.5,-1e3]}': True, '{"k":"c"}': False, '{"xs":[]}': False, '{"k":"b","xs":[1,"2"]}': False, '{"k":"b","xs":[]}': True, '{"k":"a","o":{"it\'s":true,"more":1}}': True, '{"k":"a","o":{}}': False, '{"k":"a","z":1}': False, "[1]": False, "{": False, None: False, '{"k":"a","xs":[' + ",".join("1" * 100_000) + "]}": True}
     d = spark.createDataFrame([(a,) for a in cases], "a string")
     assert {r.a: r.ok for r in d.select("a", tools.valid(F.lit("t"), F.col("a"), schema).alias("ok")).collect()} == cases
+
+
+def test_minhash_recall_and_precision(spark):
+    """A few thousand documents whose neighbours lie around the threshold, against all pairs that share a shingle."""
+    rng, rows = random.Random(41), []
+    for i in range(700):
+        words = prose(rng, rng.choice([20, 40, 80]), 10**5).split()
+        rows.append(" ".join(words))
+        for _ in range(rng.randrange(5)):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 2 + len(copy) // 12)):
+                copy[rng.randrange(len(copy))] = "v" + str(rng.randrange(10**6))
+            rows.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (t.split() for t in rows)]
+    where = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            where.setdefault(g, []).append(i)
+    pairs = {(a, b) for own in where.values() for a in own for b in own if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), width=2).collect()}
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    assert len(links) > 300 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_strangers_meet_hubs_and_each_other(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(42)
+    base = prose(rng, 40, 10**5).split()
+    rows = []
+    for i in range(40):  # chains of small edits: near neighbours are linked, far ones are not
+        base = list(base)
+        base[rng.randrange(40)] = "v" + str(i)
+        rows.append((i, " ".join(base)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == minhash.brute_force(rows, 2)
