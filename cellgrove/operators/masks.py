@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,21 @@ def rle_encode(bits: Column) -> Column:
     return F.when(F.get(bits, 0) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
 
 
+def _spans(runs: np.ndarray | None) -> list[dict] | None:
+    if runs is None:
+        return None
+    ends = np.cumsum(np.asarray(runs, np.int64))
+    b, e = ends[:-1:2], ends[1::2]
+    return [{"b": int(x), "e": int(y)} for x, y in zip(b, e) if y > x]
+
+
 def rle_spans(counts: Column) -> Column:
-    """The set runs as an array of (b, e): half-open ranges of flat positions."""
-    ends = F.aggregate(counts, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x).cast("int"))))
-    spans = F.zip_with(counts, ends, lambda n, e: F.struct((e - n).cast("int").alias("b"), e.alias("e")))
-    return F.filter(spans, lambda s, i: (i % 2 == 1) & (s["e"] > s["b"]))
+    """The set runs as an array of (b, e): half-open ranges of flat positions; by running sums, linear in the runs."""
+
+    def every(column: pd.Series) -> pd.Series:
+        return column.map(_spans)
+
+    return F.pandas_udf(every, "array<struct<b:int,e:int>>")(counts)
 
 
 def rle_decode(masks: DataFrame, counts: str = "counts", width: str = "w") -> DataFrame:
@@ -80,3 +92,9 @@ def per_prompt(detections: DataFrame) -> DataFrame:
 def merge_responses(old: Column, new: Column) -> Column:
     """Cached detections by prompt, the new ones winning."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def fitting(detections: DataFrame) -> DataFrame:
+    """Without detections whose mask has another size (h, w) than their tile (tile_h, tile_w), or runs that don't fill it."""
+    filled = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("h") * F.col("w")
+    return detections.where((F.col("h") == F.col("tile_h")) & (F.col("w") == F.col("tile_w")) & filled)

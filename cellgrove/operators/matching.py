@@ -78,19 +78,27 @@ def restore(tile: DataFrame, labelled: DataFrame, key: str = "tile_index", toler
     return d.drop("_x", "_y", "_z")
 
 
-def merge_parts(tile: DataFrame, parts: dict[int, DataFrame], key: str = "orig_index") -> DataFrame:
-    """The tile with the classes of its parts (code: rows with the key); the rest has code 1. An id in two classes or
-    unknown to the tile is an error."""
+def merge_parts(tile: DataFrame, parts: dict[int, DataFrame], key: str = "orig_index", tolerance: float = COORDINATE_TOLERANCE) -> DataFrame:
+    """The tile with the classes of its parts (code: rows with the key); the rest has code 1.
+
+    An id twice in a part, in two classes, or unknown to the tile is an error, as are coordinates (of parts that have
+    x, y, z) farther than the tolerance from the tile's.
+    """
     union = None
     for code, d in sorted(parts.items()):
-        one = d.select(key, F.lit(code).alias("classification"))
+        place = [(F.col(c) if c in d.columns else F.lit(None).cast("double")).alias(f"_p{c}") for c in "xyz"]
+        one = d.select(key, F.lit(code).alias("_c"), *place)
         union = one if union is None else union.unionByName(one)
-    if not conflicts(union, key).isEmpty():
-        raise AlignmentError("an id has two classes")
-    if not union.join(tile, key, "left_anti").isEmpty():
-        raise AlignmentError("an id is not in the tile")
-    one = union.distinct().withColumnRenamed("classification", "_c")
-    return tile.drop("classification").join(one, key, "left").withColumn("classification", F.coalesce("_c", F.lit(1))).drop("_c")
+    if not union.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise AlignmentError("an id stands twice in the parts")
+    known = tile.withColumn("_known", F.lit(True)).join(union, key, "full_outer")
+    far = F.lit(False)
+    for c in [c for c in "xyz" if c in tile.columns]:
+        far = far | F.coalesce(F.abs(F.col(c) - F.col(f"_p{c}")) > tolerance, F.lit(False))
+    if not known.where(F.col("_known").isNull() | far).isEmpty():
+        raise AlignmentError("an id is not in the tile, or lies elsewhere")
+    kept = [c for c in tile.columns if c != "classification"]
+    return known.where("_known").select(*kept, F.coalesce("_c", F.lit(1)).alias("classification"))
 
 
 def conflicts(labelled: DataFrame, key: str = "orig_index") -> DataFrame:
@@ -127,12 +135,16 @@ def near_other_class(points: DataFrame, radius: float = 1.0, bounds: tuple[float
     return own.join(near, ["x", "y", "z", "classification"], "left").withColumn("boundary", F.coalesce("_n", F.lit(False)) | edge).drop("_n")
 
 
-def geometry_mismatches(a: DataFrame, b: DataFrame, key: str = "orig_index", columns: tuple[str, ...] = ("x_raw", "y_raw", "z_raw")) -> DataFrame:
-    """One row: rows of each side, ids on one side only, and matched rows whose raw geometry differs."""
+def geometry_mismatches(a: DataFrame, b: DataFrame, key: str = "orig_index", columns: tuple[str, ...] = ("x_raw", "y_raw", "z_raw"), headers: tuple | None = None) -> DataFrame:
+    """One row: rows of each side, ids on one side only, and matched rows whose raw geometry differs.
+
+    Raw integers only mean the same place under the same scale and shift: with the headers of both files, other ones
+    make every matched row differ.
+    """
     l = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_a"))
     r = b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_b"))
     d = l.join(r, key, "full_outer")
-    differs = F.lit(False)
+    differs = F.lit(headers is not None and any(getattr(headers[0], k) != getattr(headers[1], k) for k in ("scale", "shift")))
     for c in columns:
         differs = differs | ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()

@@ -145,3 +145,17 @@ def tidy_confusion(counts: DataFrame, method: str, group: str, subset: str) -> D
 def tidy_per_class(classes: DataFrame, method: str, group: str, subset: str) -> DataFrame:
     p = lambda c: (F.col(c) * 100).alias(f"{c}_percent")
     return classes.select(F.lit(method).alias("method"), F.lit(group).alias("group"), F.lit(subset).alias("subset"), F.col("code").alias("reference"), "class_name", "present", "support", "true_positive", "false_positive", "false_negative", p("precision"), p("recall"), p("f1"), p("iou"))
+
+
+def recounted(scored: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
+    """code, support, true_positive, false_positive, false_negative, counted from the rows themselves, by no confusion."""
+    r, p, codes = F.col(ref), F.col(pred), REFERENCE_CODES
+    known = r.isin(*codes)
+    of = lambda c: F.struct(F.lit(c).alias("code"), F.count_if(r == c).alias("support"), F.count_if((r == c) & F.coalesce(p == c, F.lit(False))).alias("true_positive"), F.count_if(known & (r != c) & (p == c)).alias("false_positive"), F.count_if((r == c) & ~F.coalesce(p == c, F.lit(False))).alias("false_negative"))
+    return scored.agg(F.array(*map(of, codes)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def disagreements(classes: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows of per_class whose counts are not those of `recounted`; none if the metrics hold."""
+    names = ["code", "support", "true_positive", "false_positive", "false_negative"]
+    return classes.select(*names).exceptAll(counted.select(*names)).unionByName(counted.select(*names).exceptAll(classes.select(*names)))

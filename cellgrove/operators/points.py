@@ -41,13 +41,14 @@ def thin(points: DataFrame, k: int = 12, key: str = "orig_index") -> DataFrame:
     return ordinal(points, key, "_o").where(F.col("_o") % k == 0).drop("_o")
 
 
-def limited(points: DataFrame, chunks: int, chunk_size: int) -> DataFrame:
-    return points.limit(chunks * chunk_size)
+def limited(points: DataFrame, chunks: int, chunk_size: int, key: str = "orig_index") -> DataFrame:
+    """The first chunks of the survey: rows are numbered from 0 in file order, so this is a filter that scans can use."""
+    return points.where(F.col(key) < chunks * chunk_size)
 
 
 def sample(points: DataFrame, n: int, seed: int, key: str = "orig_index") -> DataFrame:
-    """n rows without replacement: the smallest seeded hashes of the key."""
-    return points.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement: the least MD5 sums of seed:key."""
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def stratified(points: DataFrame, stratum: str, most: int = 50, seed: int = 0, key: str = "orig_index") -> tuple[DataFrame, DataFrame]:
@@ -79,3 +80,20 @@ def require_unique(points: DataFrame, key: str = "orig_index") -> DataFrame:
 def digest(points: DataFrame, columns: list[str]) -> DataFrame:
     """An order-free digest of the columns: rows, and the sum of row hashes."""
     return points.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+
+
+def ordered_digest(points: DataFrame, columns: list[str], key: str = "orig_index", block: int = 65_536) -> DataFrame:
+    """One row: rows, and a SHA-256 of the columns in key order.
+
+    Blocks of so many rows are digested side by side, then the digests of so many blocks, until one is left; no group
+    holds more than a block. Values count as text, NULL as nothing between two commas.
+    """
+    line = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), ",")
+    d, left = ordinal(points, key, "_o").select("_o", line.alias("_v")), points.count()
+    rows = left
+    while True:
+        d = d.groupBy(F.floor(F.col("_o") / block).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_o", "_v"))).alias("_l"))
+        d = d.select(F.col("_b").alias("_o"), F.sha2(F.array_join(F.transform("_l", lambda x: x["_v"]), "\n"), 256).alias("_v"))
+        left = -(-left // block)
+        if left <= 1:
+            return d.agg(F.lit(rows).cast("long").alias("rows"), F.coalesce(F.max("_v"), F.sha2(F.lit(""), 256)).alias("digest"))

@@ -36,12 +36,15 @@ def box_mean(cells: DataFrame, grid: Grid, size: int, value: str, out: str = "me
 
 
 def fill_gaps(cells: DataFrame, grid: Grid, value: str = "z", windows: tuple[int, ...] = GAPFILL) -> DataFrame:
-    """Empty cells take the mean of the original cells in ever larger windows; what is left the least value of all."""
+    """Empty cells take the mean of the original cells in ever larger windows; what is left the least value of all.
+
+    A mean is never below the least cell, so the least value is that of the original cells, and the windows run once.
+    """
     d, filled = cells.withColumn("_f", F.col(value).cast("double")), F.col("_f")
     for size in windows:
         sums = {"_n": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_d": F.col(value).isNotNull().cast("double")}
         d = box_sums(d, grid, size, sums).withColumn("_f", F.coalesce("_f", F.when(F.col("_d") > 0.5, F.try_divide(F.col("_n"), F.col("_d"))))).drop("_n", "_d")
-    least = d.agg(F.min("_f").alias("_least"))
+    least = cells.agg(F.min(F.col(value).cast("double")).alias("_least"))
     return d.crossJoin(F.broadcast(least)).withColumn(value, F.coalesce(filled, "_least")).drop("_f", "_least")  # one row
 
 
@@ -98,10 +101,14 @@ def bilinear(coarse: DataFrame, small: Grid, large: Grid, value: str = "z", out:
         clamp = lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(m - 1)).cast("int")
         return F.array(F.struct(clamp(low).alias("i"), (1 - weight).alias("w")), F.struct(clamp(low + 1).alias("i"), weight.alias("w")))
 
-    d = large.cells(coarse.sparkSession).withColumn("_a", F.explode(side("r", large.rows, small.rows))).withColumn("_b", F.explode(side("c", large.cols, small.cols)))
-    d = d.select("r", "c", F.col("_a.i").alias("_r"), F.col("_b.i").alias("_c"), (F.col("_a.w") * F.col("_b.w")).alias("_w"))
-    d = small.gather(d, coarse.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).alias("_v")), ("_r", "_c"))
-    return d.groupBy("r", "c").agg(f32(F.sum(F.col("_w") * F.col("_v"))).alias(out))
+    d = large.cells(coarse.sparkSession).withColumns({"_a": side("r", large.rows, small.rows), "_b": side("c", large.cols, small.cols)})
+    corners, total = [(i, j) for i in (0, 1) for j in (0, 1)], F.lit(0.0)
+    for i, j in corners:  # four lookups side by side; nothing is exploded, and the large grid is never shuffled to add up
+        d = d.withColumns({"_r": F.get("_a", i)["i"], "_c": F.get("_b", j)["i"]})
+        d = small.gather(d, coarse.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).alias(f"_v{i}{j}")), ("_r", "_c"))
+        total = total + F.coalesce(F.get("_a", i)["w"] * F.get("_b", j)["w"] * F.col(f"_v{i}{j}"), F.lit(0.0))
+    any_value = F.coalesce(*[F.col(f"_v{i}{j}") for i, j in corners])
+    return d.select("r", "c", f32(F.when(any_value.isNotNull(), total)).alias(out))
 
 
 def resize_mask(logits: DataFrame, small: Grid, large: Grid, value: str = "logit") -> DataFrame:
@@ -111,16 +118,47 @@ def resize_mask(logits: DataFrame, small: Grid, large: Grid, value: str = "logit
     return d.select("r", "c", p.alias("probability"), (p > 0.5).alias("mask"))
 
 
-def inpaint(cells: DataFrame, grid: Grid, value: str, most: int = 64) -> DataFrame:
-    """Empty cells take the mean of the filled cells of their 3 x 3 neighbourhood, ring by ring.
+def inpaint(cells: DataFrame, grid: Grid, value: str) -> DataFrame:
+    """Empty cells take the mean of the filled cells of their 3 x 3 neighbourhood, ring by ring, until none is left.
 
-    A deterministic stand-in for fast-marching inpainting, not equal to it.
+    A deterministic stand-in for fast-marching inpainting, not equal to it. Every eighth ring cuts the lineage, where a
+    checkpoint folder is set. A raster without any value stays as it is.
     """
-    d = cells
-    for _ in range(most):
-        empty = d.where(F.col(value).isNull())
-        if empty.isEmpty():
-            return d
+    d, rings = cells, 0
+    if d.where(F.col(value).isNotNull()).isEmpty():
+        return d
+    while not d.where(F.col(value).isNull()).isEmpty():
         near = _scatter(d.where(F.col(value).isNotNull()).withColumn("_v", F.col(value)), grid, 1, "_v").groupBy("r", "c").agg(F.avg("_v").alias("_m"))
-        d = d.join(near, ["r", "c"], "left").withColumn(value, F.coalesce(value, "_m")).drop("_m").checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.join(near, ["r", "c"], "left").withColumn(value, F.coalesce(value, "_m")).drop("_m")
-    raise ValueError("cells are left empty")
+        d, rings = d.join(near, ["r", "c"], "left").withColumn(value, F.coalesce(value, "_m")).drop("_m"), rings + 1
+        if rings % 8 == 0 and d.sparkSession.sparkContext.getCheckpointDir():
+            d = d.checkpoint()
+    return d
+
+
+def grid_sample(cells: DataFrame, grid: Grid, at: DataFrame, value: str, out: str = "sample") -> DataFrame:
+    """Rows of `at` (y, x in cells, cell centres at whole numbers) with the bilinear value; cells out of bounds count 0."""
+    row, col = F.floor("y").cast("int"), F.floor("x").cast("int")
+    d, total = at.withColumns({"_y": F.col("y") - F.floor("y"), "_x": F.col("x") - F.floor("x")}), F.lit(0.0)
+    for i in (0, 1):
+        for j in (0, 1):
+            d = d.withColumns({"_r": row + i, "_c": col + j})
+            d = grid.gather(d, cells.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).cast("double").alias(f"_v{i}{j}")), ("_r", "_c"))
+            weight = (F.col("_y") if i else 1 - F.col("_y")) * (F.col("_x") if j else 1 - F.col("_x"))
+            total = total + F.coalesce(weight * F.col(f"_v{i}{j}"), F.lit(0.0))
+    return d.select(*at.columns, total.alias(out))
+
+
+def roi_align(cells: DataFrame, grid: Grid, boxes: DataFrame, value: str, size: tuple[int, int], samples: int = 2, key: str = "box") -> DataFrame:
+    """key, i, j, value: each box (bbox: x0, y0, x1, y1 in cells) cut into size bins, with the mean of samples x samples
+    evenly spaced bilinear values in each. Places are half-pixel aligned; within a cell of the border they are clamped,
+    farther out they count 0."""
+    h, w = size
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    d = boxes.select(key, "bbox").withColumn("i", each(h)).withColumn("j", each(w)).withColumn("_p", each(samples)).withColumn("_q", each(samples))
+    b = lambda k: F.get("bbox", k).cast("double")
+    y = b(1) - 0.5 + (F.col("i") + (F.col("_p") + 0.5) / samples) * (b(3) - b(1)) / h
+    x = b(0) - 0.5 + (F.col("j") + (F.col("_q") + 0.5) / samples) * (b(2) - b(0)) / w
+    d = d.withColumns({"y": y, "x": x}).withColumn("_in", F.col("y").between(-1, grid.rows) & F.col("x").between(-1, grid.cols))
+    clamp = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0))
+    d = grid_sample(cells, grid, d.withColumns({"y": clamp("y", grid.rows), "x": clamp("x", grid.cols)}), value, "_v")
+    return d.groupBy(key, "i", "j").agg(F.avg(F.when(F.col("_in"), F.col("_v")).otherwise(0.0)).alias("value"))

@@ -281,3 +281,10 @@ def from_binary(files: DataFrame, header: Header) -> DataFrame:
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def write_subset(points: DataFrame, source: str, path: str) -> None:
+    """Writes points of a LAS file under that file's own scale and shift, so their raw integers stay what they are."""
+    h = Header.read(paths_of(source)[0])
+    numbers = lambda xs: ",".join(map(repr, xs))
+    points.write.format("las").option("path", path).option("scale", numbers(h.scale)).option("offset", numbers(h.shift)).mode("append").save()

@@ -87,10 +87,11 @@ def write_tiles(cells: DataFrame, folder: str, rows: int, cols: int, size: int =
     import numpy as np
     import pandas as pd
 
-    from ..operators.masks import tiles
+    from ..operators.masks import tile_offsets
 
-    offsets = tiles(cells.sparkSession, rows, cols, size, step)
-    at = cells.join(F.broadcast(offsets), (F.col("r") >= F.col("row0")) & (F.col("r") < F.col("row0") + size) & (F.col("c") >= F.col("col0")) & (F.col("c") < F.col("col0") + size))
+    offsets = lambda at, n: F.filter(tile_offsets(F.lit(n), size, step), lambda o: (o <= F.col(at)) & (F.col(at) < o + size))
+    # the tiles of a cell follow from its place: four at most
+    at = cells.withColumn("row0", F.explode(offsets("r", rows))).withColumn("col0", F.explode(offsets("c", cols)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf.row0.iloc[0]), int(pdf.col0.iloc[0])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,6 +22,48 @@ class DetectorError(RuntimeError):
     pass
 
 
+class Unreachable(DetectorError):
+    """No connection to the detector."""
+
+
+class TimedOut(DetectorError):
+    """The detector took too long."""
+
+
+class BadStatus(DetectorError):
+    """The detector answered with another status than 200."""
+
+
+class BadAnswer(DetectorError):
+    """The detector's answer is no JSON object with every prompt."""
+
+
+def http_detector(url: str, timeout: float = 600.0) -> Callable[[bytes, list[str]], str]:
+    """A detector for `detect` behind an HTTP server: posts {"image": base64, "prompts": [...]}, gets detections by prompt."""
+
+    def ask(image: bytes, prompts: list[str]) -> str:
+        body = json.dumps({"image": base64.b64encode(image).decode(), "prompts": prompts}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                text = reply.read().decode()
+        except urllib.error.HTTPError as e:
+            raise BadStatus(f"status {e.code}") from e
+        except TimeoutError as e:
+            raise TimedOut(f"no answer in {timeout} s") from e
+        except urllib.error.URLError as e:
+            raise (TimedOut if isinstance(e.reason, TimeoutError) else Unreachable)(str(e.reason)) from e
+        try:
+            found = json.loads(text)
+        except ValueError as e:
+            raise BadAnswer("not JSON") from e
+        if not isinstance(found, dict) or set(prompts) - set(found):
+            raise BadAnswer("a prompt has no answer")
+        return text
+
+    return ask
+
+
 def tiles(spark: SparkSession, folder: str) -> DataFrame:
     """path, row0, col0, content of the files tile_r*_c*.png, in path order."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", "tile_r*_c*.png").load(folder)
@@ -38,7 +84,7 @@ def detect(images: DataFrame, detector: Callable[[bytes, list[str]], str], promp
                 try:
                     out.append(detector(content, prompts))
                 except Exception as e:
-                    raise DetectorError(f"{path}: {e}") from e
+                    raise (type(e) if isinstance(e, DetectorError) else DetectorError)(f"{path}: {e}") from e
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.string())], names=["path", "key", "response"])
 
     key = F.sha2(F.concat_ws("\n", F.sha2("content", 256), F.lit(identity), *map(F.lit, sorted(prompts))), 256)
@@ -63,3 +109,10 @@ def merge_cache(cached: DataFrame, new: DataFrame) -> DataFrame:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{DETECTIONS[11:-1]}>"))
     d = cached.select("path", F.col("detections").alias("a")).join(new.select("path", F.col("detections").alias("b")), "path", "full_outer")
     return d.select("path", merge_responses(F.coalesce("a", empty), F.coalesce("b", empty)).alias("detections"))
+
+
+def jobs(images: DataFrame, prompts: list[str], identity: str, cached: DataFrame | None = None) -> DataFrame:
+    """path, prompt, key of each detection still to make; key names image, prompt and the model's identity."""
+    key = F.sha2(F.concat_ws("\n", F.sha2("content", 256), F.lit(identity), "prompt"), 256)
+    every = images.withColumn("prompt", F.explode(F.array(*map(F.lit, prompts)))).select("path", "prompt", key.alias("key"))
+    return every if cached is None else every.join(cached.select("key"), "key", "left_anti").select("path", "prompt", "key")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.config import CLASSES, Fusion
+from cellgrove.config import CLASSES, IDS, THRESHOLDS, Fusion
 from cellgrove.operators import fusion, metrics, transfer
 from cellgrove.operators.grid import Grid
 
@@ -23,35 +23,79 @@ def test_thresholds_are_float32(spark):
         fusion.veto("water")
 
 
-def quadrants(spark, size=20):
-    """Confident tree, building, grass and vehicle quadrants; the vehicle's height is impossible; one void, one speckle."""
-    g = Grid(0, 0, size, size, 1.0, size, size)
-    h = size // 2
-    name = F.when((F.col("r") < h) & (F.col("c") < h), "tree").when(F.col("r") < h, "building").when(F.col("c") < h, "grass").otherwise("vehicle")
-    d = g.cells(spark).withColumn("q", name)
-    d = d.withColumn("q", F.when((F.col("r") == 3) & (F.col("c") == 3), "building").otherwise(F.col("q")))
-    d = d.withColumn("hag", F.when(F.col("q").isin("tree", "building"), 12.0).when(F.col("q") == "grass", 0.3).otherwise(20.0).cast("float"))
-    d = d.withColumn("exg", F.when(F.col("q").isin("tree", "grass"), 0.3).otherwise(0.0).cast("float")).withColumn("void", (F.col("r") == 15) & (F.col("c") == 5))
-    return g, d.withColumns({n: F.when(F.col("q") == n, 0.9).otherwise(0.0).cast("float") for n in NAMES})
-
-
-def test_fuse_quadrants(spark):
-    g, d = quadrants(spark)
-    raw = {(r.r, r.c): r.label for r in fusion.fuse(d, g, Fusion(smoothing=False)).collect()}
-    assert raw[2, 2] == 4 and raw[3, 3] == 5 and raw[2, 15] == 5 and raw[15, 3] == 3 and raw[15, 15] == -1 and raw[15, 5] == -1
-    done = {(r.r, r.c): (r.label, r.score) for r in fusion.fuse(d, g).collect()}
-    assert done[3, 3] == (4, 0.0) and done[2, 2][0] == 4 and abs(done[2, 2][1] - 0.9) < 1e-6 and done[15, 5][0] == 3
-    physical = {(r.r, r.c): r.label for r in fusion.fuse(d, g, Fusion(physical_smoothing=True)).collect()}
-    assert physical[15, 5] == -1
-    stats = {r["class"]: (r.claimed_px, r.kept_px, r.vetoed) for r in fusion.veto_stats(d).collect()}
-    assert stats["vehicle"] == (100, 0, 1.0) and stats["pavement"] == (0, 0, None) and stats["grass"][1] == 99
-
-
-def test_tree_height_check(spark):
-    g, d = quadrants(spark)
-    low = d.withColumn("hag", F.when(F.col("q") == "tree", F.lit(0.2).cast("float")).otherwise(F.col("hag")))
-    assert fusion.fuse(low, g).where("r < 8 and c < 8 and label = 4").count() > 50
-    assert fusion.fuse(low, g, Fusion(tree_height_check=True)).where("label = 4").isEmpty()
+def random_cells(spark, seed, rows=11, cols=14):
+    """A grid of random confidences, heights and greenness around all thresholds, with voids and unknown values."""
+    rng = np.random.default_rng(seed)
+    cells = {}
+    for r in range(rows):
+        for c in range(cols):
+            likely = NAMES[(r // 4 * 3 + c // 5) % len(NAMES)]  # patches of one class, with noise
+            usual = rng.random() < 0.75
+            height = {"tree": 12.0, "building": 9.0, "vehicle": 2.0}.get(likely, 0.1) if usual else float(rng.choice([0.1, 1.2, 1.5, 2.0, 5.0, 6.0, 7.5, 8.0, 9.0, 12.0]))
+            green = (0.3 if likely in ("tree", "grass") else 0.0) if usual else float(rng.choice([0.0, 0.05, 0.07, 0.1, 0.3]))
+            void, unknown = bool(rng.random() < 0.1), rng.random() < 0.1
+            score = {n: 0.9 if n == likely and rng.random() < 0.85 else float(rng.choice([0.0, 0.3, 0.35, 0.45, 0.5])) if rng.random() < 0.15 else 0.0 for n in NAMES}
+            cells[r, c] = {"void": void, "hag": None if void or unknown else float(np.float32(height)), "exg": None if void else float(np.float32(green)), **{n: float(np.float32(x)) for n, x in score.items()}}
+    schema = "r int, c int, void boolean, hag float, exg float, " + ", ".join(f"{n} float" for n in NAMES)
+    d = spark.createDataFrame([(r, c, x["void"], x["hag"], x["exg"], *(x[n] for n in NAMES)) for (r, c), x in cells.items()], schema)
+    return Grid(0, 0, cols, rows, 1.0, rows, cols), cells, d
+
+
+def allowed(name, x, v):
+    """Physics by hand: unknown values never allow anything."""
+    f = np.float32
+    more = lambda k, t: x[k] is not None and f(x[k]) > f(t)
+    less = lambda k, t: x[k] is not None and f(x[k]) < f(t)
+    if x["void"]:
+        return False
+    if name == "tree":
+        return more("exg", v.tree_exg) or more("hag", v.tree_hag)
+    if name == "grass":
+        return more("exg", v.grass_exg) and less("hag", v.grass_hag)
+    if name == "building":
+        return more("hag", v.building_hag)
+    if name == "vehicle":
+        return more("hag", v.vehicle_low) and less("hag", v.vehicle_high)
+    return less("hag", v.pavement_hag)
+
+
+def fused_by_hand(cells, o):
+    tall = lambda x: not x["void"] and x["hag"] is not None and np.float32(x["hag"]) > np.float32(o.veto.tree_hag)
+    before = {}
+    for at, x in cells.items():
+        kept = {n for n in NAMES if np.float32(x[n]) >= np.float32(THRESHOLDS[n]) and (allowed(n, x, o.veto) if o.constraints else not x["void"])}
+        if o.tree_height_check and not tall(x):
+            kept.discard("tree")
+        before[at] = next((IDS[n] for n in o.priority if n in kept), -1)
+    rows, cols, h = max(r for r, _ in cells), max(c for _, c in cells), o.window // 2
+    out = {}
+    for (r, c), x in cells.items():
+        label = before[r, c]
+        if o.smoothing:
+            votes = [before[min(max(r + i, 0), rows), min(max(c + j, 0), cols)] for i in range(-h, h + 1) for j in range(-h, h + 1)]
+            label = min(set(votes), key=lambda k: (-votes.count(k), k))
+            if o.physical_smoothing and (label < 0 or not allowed(NAMES[label], x, o.veto)):
+                label = before[r, c]
+            if o.tree_height_check and label == IDS["tree"] and not tall(x):
+                label = before[r, c]
+        out[r, c] = (label, x[NAMES[label]] if label >= 0 else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("options", [Fusion(), Fusion(constraints=False), Fusion(smoothing=False), Fusion(window=3), Fusion(tree_height_check=True), Fusion(physical_smoothing=True), Fusion(tree_height_check=True, physical_smoothing=True)])
+def test_fusion_by_hand(spark, options):
+    g, cells, d = random_cells(spark, 5)
+    got = {(r.r, r.c): (r.label, r.score) for r in fusion.fuse(d, g, options).collect()}
+    assert got == fused_by_hand(cells, options) and len({label for label, _ in got.values()}) >= 4
+
+
+def test_veto_stats_by_hand(spark):
+    _, cells, d = random_cells(spark, 6)
+    for r in fusion.veto_stats(d).collect():
+        n = r["class"]
+        claimed = [x for x in cells.values() if np.float32(x[n]) >= np.float32(THRESHOLDS[n])]
+        kept = [x for x in claimed if allowed(n, x, Fusion().veto)]
+        assert (r.claimed_px, r.kept_px) == (len(claimed), len(kept)) and r.vetoed == pytest.approx(1 - len(kept) / len(claimed))
 
 
 SCHEMA = "id int, z double, hag float, exg float, label int, score float, surface_z float"

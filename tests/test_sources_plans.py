@@ -89,24 +89,24 @@ def test_guard(tmp_path):
     p = guard.Protocol.load(str(path), sinks.sha256_file(str(path)))
     assert p.require_free([6, 4, 8, 6]) == (6.0, 4.0, 8.0, 6.0)
     for bad in ([5, 5, 7, 7], [3, 3, 1, 1], [0, 0, float("nan"), 1], [0, 0, 1]):
-        with pytest.raises(guard.ProtocolViolation):
+        with pytest.raises(guard.Refused):
             p.require_free(bad)
-    with pytest.raises(guard.ProtocolViolation):
+    with pytest.raises(guard.Refused):
         guard.Protocol.load(str(path), "0" * 64)
     gate = guard.Gate(str(tmp_path / "gate"))
-    with pytest.raises(guard.ProtocolViolation):
+    with pytest.raises(guard.Refused):
         gate.finish({})
     gate.begin({"a": 1})
     gate.finish({"b": 2})
     for again in (gate.begin, gate.finish):
-        with pytest.raises(guard.ProtocolViolation):
+        with pytest.raises(guard.Refused):
             again({})
-    with pytest.raises(guard.ProtocolViolation):
+    with pytest.raises(guard.Refused):
         guard.inside_folder(str(tmp_path), "../x")
     m = guard.manifest(str(tmp_path), ["p.json"])
     guard.verify_manifest(str(tmp_path), m)
     path.write_text("{}")
-    with pytest.raises(guard.ProtocolViolation):
+    with pytest.raises(guard.Refused):
         guard.verify_manifest(str(tmp_path), m)
 
 
@@ -182,14 +182,14 @@ def test_bounded_run(tmp_path):
     run.record(["out.csv"], {"seed": 1})
     assert json.loads((tmp_path / "run" / "manifest.json").read_text())["outputs"]["out.csv"] == sinks.sha256_file(str(tmp_path / "run" / "out.csv"))
     for bounds, inputs in (([5, 5, 7, 7], {}), ([8, 8, 12, 12], {}), ([0, 0, 1, 1], {str(path): "0" * 64})):
-        with pytest.raises(guard.ProtocolViolation):
+        with pytest.raises(guard.Refused):
             guard.BoundedRun.prepare(p, bounds, inputs, str(tmp_path / "other"))
     git = ["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c"]
     for step in (["init", "-q"], ["add", "p.json"], ["commit", "-qm", "a"]):
         subprocess.run([*git, *step], check=True)
     guard.require_committed(str(tmp_path), ["p.json"])
     path.write_text("{}")
-    with pytest.raises(guard.ProtocolViolation):
+    with pytest.raises(guard.Refused):
         guard.require_committed(str(tmp_path), ["p.json"])
 
 
