@@ -167,7 +167,7 @@ def search(index: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
 
     Every window goes only to the shards that hold its rarest term: counts of terms come from the index, joins bring
     windows and shards together. There the lists of its terms are intersected at their offsets, from the rarest on;
-    near windows have all their terms, as often as they need them, within len + slop words.
+    near windows have all their terms, as often as they need them, within len + slop words; without slop none is sought.
     """
 
     def counted(batches):
@@ -204,12 +204,13 @@ def search(index: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
             if (at < 0).any():
                 continue
             own = [places[edge[i] : edge[i + 1]] for i in at]
-            s = _near(own, w, slop)
-            if not len(s):
-                continue
-            # a span may reach before its document, never into the one before
-            for d in np.unique(np.searchsorted(begin, s + len(w) + slop - 1, side="right") - 1).tolist():
-                near.setdefault(d, set()).add(wid)
+            if slop:
+                s = _near(own, w, slop)
+                if not len(s):  # then there is no exact match either
+                    continue
+                # a span may reach before its document, never into the one before
+                for d in np.unique(np.searchsorted(begin, s + len(w) + slop - 1, side="right") - 1).tolist():
+                    near.setdefault(d, set()).add(wid)
             start = _starts(own, np.arange(len(w)))
             if len(start):
                 np.add.at(hit, start, 1)
@@ -229,7 +230,7 @@ def search(index: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word ranges hit), items and near_items (ids as sorted strings).
+    """One row per document: doc_id, n_words, spans (word ranges hit), items and, with slop, near_items (sorted strings).
 
     An item_id on several benchmark rows is one item, with the windows of all its rows; rows without item_id are none.
     Null text or item: no words. Items with fewer words than a window are one window; items without words match nothing.
@@ -247,16 +248,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
 
     none = F.array().cast("array<string>")
     d = found
-    for kind, out in (("exact", "items"), ("near", "near_items")):
+    for kind, out in (("exact", "items"), ("near", "near_items"))[: 2 if slop else 1]:
         d = d.join(named(kind, out), F.col("row") == F.col(f"of_{out}"), "left").withColumn(out, F.coalesce(out, none))
-    return d.select("doc_id", "n_words", "spans", "items", "near_items")
+    return d.select("doc_id", "n_words", "spans", "items", *(["near_items"] if slop else []))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with slop also n_near, the items in proximity."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["b"]))
-    d = find(docs, benchmark, window)
-    return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
+    near = [F.size("near_items").cast("long").alias("n_near")] if slop else []
+    d = find(docs, benchmark, window, slop)
+    return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *near)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> dict:

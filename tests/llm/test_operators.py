@@ -531,7 +531,7 @@ def test_decontamination_edges(spark, empty, odd):
     assert decontaminate.contamination(empty, b).count() == 0
     assert decontaminate.contamination(odd, none).where("contaminated or n_items > 0").isEmpty() and decontaminate.contamination(odd, none).count() == 5
     nameless = spark.createDataFrame([(None, rows[1][1]), (3, None)], "item_id long, text string")
-    assert decontaminate.contamination(spark.createDataFrame(rows, DOCS), nameless).where("contaminated or n_near > 0").isEmpty()
+    assert decontaminate.contamination(spark.createDataFrame(rows, DOCS), nameless).where("contaminated or n_items > 0").isEmpty()
 
 
 def test_decontamination_counts_an_item_once(spark):
