@@ -110,3 +110,14 @@ def bits_of(flags: np.ndarray) -> bytes:
 
 def flags_of(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).view(bool)
+
+
+def pairs(key: np.ndarray, content: np.ndarray):
+    """Distinct (key, content) in order, the place of the first of each, and which one each row is."""
+    order = np.lexsort((content, key))
+    k, c = key[order], content[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], c[new], order[new], inverse

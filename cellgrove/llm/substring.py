@@ -44,6 +44,7 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.bounds))
         self.window, self.block = window, (window + 1) // 2
         self.p = X.prefix(self.hashes)
+        self.p2 = X.prefix(X.mix(self.hashes + np.uint64(1)))  # for a second, independent hash of full windows
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts within one document, and their hashes."""
@@ -51,6 +52,12 @@ class Chunk:
         at = np.flatnonzero(self.doc[: len(h)] == self.doc[k - 1 :]) if len(h) else np.zeros(0, np.int64)
         return at, h[at]
 
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the chosen full windows within one document, and their 128-bit hashes in two halves."""
+        at, h = self.grams(self.window)
+        keep = chosen[at]
+        return at[keep], h[keep], X.grams(self.p2, self.window)[at[keep]]
+
     def anchors(self, bits: int):
         """Rolling windows of a block's length: starts, hashes, and whether they are blocks of the fixed raster."""
         at, h = self.grams(self.block)
@@ -77,7 +84,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a window of `window` words that covers it has the same words as one that starts earlier (smaller
     doc_id, or same document, earlier start). 1. Each document's non-overlapping blocks of half a window are the
     index, spread over hash buckets; every rolling window of that length probes it, so whatever two equal windows
-    share, each of them has a hit. 2. Around the hits, the windows of full length are compared by 64-bit hash, each
+    share, each of them has a hit. 2. Around the hits, the windows of full length are compared by 128-bit hash, each
     chunk learning which of its own an earlier chunk has; adjoining repeats make maximal spans.
     Null or empty text: no words. Texts shorter than a window keep all words. Equal doc_ids go by a hash of the text; a repeated row
     is a copy of the one before; a null doc_id comes last. Empty tables give no rows; further columns are ignored.
@@ -123,21 +130,19 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         n = key[0].as_py()
         c = Chunk(table, window)
         maybe = candidates(c, list(zip(*(replies.column(x).to_pylist() for x in ("bucket", "kind", "payload")))))
-        at, h = c.grams(window)
-        rows = _send(n, WINDOWS, np.unique(h[maybe[at]]), buckets, 64)
+        k, t, _, _ = X.pairs(*c.windows(maybe)[1:])
+        rows = [(b, n, WINDOWS, np.concatenate((k[i:j], t[i:j])).tobytes()) for b, i, j in X.split(k, buckets, 64)]
         return _sent(rows + ([(n % buckets, n, FLAGS, X.bits_of(maybe))] if rows else []))
 
     def first(table):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "payload"))), key=lambda r: r[1])
         out = [r for r in rows if r[2] == FLAGS]
-        parts = [(c, X.unpack(p)) for _, c, k, p in rows if k == WINDOWS]
+        parts = [(c, np.frombuffer(p, np.uint64).reshape(2, -1)) for _, c, k, p in rows if k == WINDOWS]
         if parts:
-            h = np.concatenate([x for _, x in parts])
-            order = np.argsort(h, kind="stable")
-            later = np.zeros(len(h), bool)
-            later[order[1:]] = h[order[1:]] == h[order[:-1]]
-            stop = np.cumsum([len(x) for _, x in parts])
-            out += [(rows[0][0], c, REPLY2, X.bits_of(later[e - len(x) : e])) for (c, x), e in zip(parts, stop) if later[e - len(x) : e].any()]
+            _, _, where, inverse = X.pairs(*(np.concatenate([x[half] for _, x in parts]) for half in (0, 1)))
+            later = where[inverse] != np.arange(len(inverse))  # the sort is stable: the first is of the earliest chunk
+            stop = np.cumsum([x.shape[1] for _, x in parts])
+            out += [(rows[0][0], c, REPLY2, X.bits_of(later[e - x.shape[1] : e])) for (c, x), e in zip(parts, stop) if later[e - x.shape[1] : e].any()]
         return _sent(out)
 
     final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))), ("kept", pa.binary())])
@@ -148,10 +153,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         gone = np.zeros(len(c.hashes) + 1, np.int32)
         if flags := [p for _, k, p in got if k == FLAGS]:
             maybe = X.flags_of(flags[0], len(c.hashes))
-            at, h = c.grams(window)
-            at, h = at[maybe[at]], h[maybe[at]]
-            distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-            dup = _joined(got, distinct, buckets, 64, REPLY2)[inverse] | (where[inverse] != np.arange(len(h)))
+            at, h, h2 = c.windows(maybe)
+            k, _, where, inverse = X.pairs(h, h2)
+            dup = _joined(got, k, buckets, 64, REPLY2)[inverse] | (where[inverse] != np.arange(len(h)))
             np.add.at(gone, at[dup], 1)
             np.add.at(gone, at[dup] + window, -1)
         gone = np.cumsum(gone[:-1]) > 0

@@ -92,7 +92,7 @@ class Chunk:
         shared = anchor - group * STRIDE
         key = X.mix(X.range_hash(self.p, shared, shared + self.length - STRIDE + 1) + group.astype(np.uint64))
         content = X.mix(X.range_hash(self.p, begin, end + self.length - 1) ^ (anchor - begin).astype(np.uint64))
-        _, _, first, inverse = _pairs(key, content)
+        _, _, first, inverse = X.pairs(key, content)
         return begin, end, key, first[inverse] != np.arange(len(key))
 
     @staticmethod
@@ -107,17 +107,6 @@ def _rows(table: pa.Table, names=("bucket", "chunk", "kind", "payload")):
     return list(zip(*(table.column(c).to_pylist() for c in names)))
 
 
-def _pairs(key: np.ndarray, content: np.ndarray):
-    """Distinct (key, content) in order, the place of the first of each, and which one each row is."""
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    inverse = np.empty(len(k), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return k[new], c[new], order[new], inverse
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed), kept (the other bytes).
 
@@ -155,7 +144,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         c = Chunk(table, length, gram)
         distinct, inverse, own = np.unique(c.key, return_inverse=True, return_counts=True)
         maybe = (_joined(_rows(replies, ("bucket", "kind", "payload")), distinct, buckets, 64, SEEN) | (own > 1))[inverse]
-        k, t, _, _ = _pairs(c.key[maybe], c.content[maybe])
+        k, t, _, _ = X.pairs(c.key[maybe], c.content[maybe])
         rows = [(b, n, CONTENTS, np.concatenate((k[i:j], t[i:j])).tobytes()) for b, i, j in X.split(k, buckets, 64)]
         return _sent(rows + ([(n % buckets, n, FLAGS1, X.bits_of(maybe))] if rows else []))
 
@@ -166,7 +155,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         if rows:
             both = [np.frombuffer(r[3], np.uint64).reshape(2, -1) for r in rows]
             key, content = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-            k, _, first, inverse = _pairs(key, content)  # stable: the first is of the earliest chunk
+            k, _, first, inverse = X.pairs(key, content)  # stable: the first is of the earliest chunk
             later = first[inverse] != np.arange(len(key))
             _, group, texts = np.unique(k, return_inverse=True, return_counts=True)
             texts = texts[group][inverse]
@@ -184,7 +173,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         repeat, shard, hot = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         if flags := [p for _, k, p in replies if k == FLAGS1]:
             at = np.flatnonzero(X.flags_of(flags[0], n))
-            k, _, first, inverse = _pairs(c.key[at], c.content[at])
+            k, _, first, inverse = X.pairs(c.key[at], c.content[at])
             later, shared, many = (_joined(replies, k, buckets, 64, x) for x in (LATER, SHARED, REPLY4))
             repeat[at] = later[inverse] | (first[inverse] != np.arange(len(at)))
             alone = shared[inverse] & ~repeat[at]
