@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .points import running_sum
+
 
 def value_histogram(points: DataFrame, channels: list[str]) -> DataFrame:
     """channel, value, n: how often each stored value occurs."""
@@ -12,10 +14,26 @@ def value_histogram(points: DataFrame, channels: list[str]) -> DataFrame:
     return long.groupBy("x.channel", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked(points: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each name the exact quantile, interpolated at (n - 1) share; NULL when empty.
+
+    Equal values are counted first; the counts are added up range by range, so no task holds all the values.
+    """
+    counts = points.select(F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(counts, "_v", F.col("_n"), "_u").crossJoin(F.broadcast(counts.agg((F.sum("_n") - 1).alias("_last"))))  # one row
+    place = {name: F.col("_last") * F.lit(q) for name, q in shares.items()}
+    value_at = lambda k: F.min(F.when(F.col("_u") > k, F.col("_v")))
+    ends = upto.agg(F.max("_last").alias("_last"), *[value_at(end(at)).alias(f"{name}{k}") for name, at in place.items() for k, end in enumerate((F.floor, F.ceil))])
+    part = {name: at - F.floor(at) for name, at in place.items()}
+    return ends.select(*[(F.col(f"{name}0") * (1 - x) + F.col(f"{name}1") * x).alias(name) for name, x in part.items()])
+
+
 def quantiles(points: DataFrame, value: str) -> DataFrame:
     """One row: n, least, median, p90, p99, most, mean; NULL when empty. Exact, interpolated at (n - 1) q."""
-    q = lambda p: F.percentile(F.col(value).cast("double"), F.lit(p))
-    return points.agg(F.count(value).alias("n"), F.min(value).cast("double").alias("least"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max(value).cast("double").alias("most"), F.avg(F.col(value).cast("double")).alias("mean"))
+    v = F.col(value).cast("double")
+    ends = points.agg(F.count(value).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+    d = ends.crossJoin(ranked(points, value, {"median": 0.5, "p90": 0.9, "p99": 0.99}))  # one row each
+    return d.select("n", "least", "median", "p90", "p99", "most", "mean")
 
 
 def histogram_quantiles(histogram: DataFrame) -> DataFrame:
@@ -56,8 +74,8 @@ def exg_histogram(points: DataFrame, bins: int = 200, low: float = -0.5, high: f
 
 def preview_stretch(cells: DataFrame, value: str = "dtm") -> DataFrame:
     """0..1 between the 2nd and 98th percentile of the values."""
-    ends = cells.agg(F.percentile(value, F.lit(0.02)).alias("_a"), F.percentile(value, F.lit(0.98)).alias("_b"))
-    return cells.crossJoin(ends).select("r", "c", F.least(F.greatest(F.coalesce(F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("shade"))
+    ends = ranked(cells, value, {"_a": 0.02, "_b": 0.98})
+    return cells.crossJoin(F.broadcast(ends)).select("r", "c", F.least(F.greatest(F.coalesce(F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("shade"))
 
 
 def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -13,8 +13,9 @@ from ..functions.scalar import box_area, f32
 
 def rle_encode(bits: Column) -> Column:
     """Run lengths of an array of 0/1 in row-major order, the first run background (of length 0 if the first is set)."""
-    n = F.size(bits)
-    turns = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(bits, i) != F.get(bits, i - 1))
+    n, rest = F.size(bits), F.greatest(F.size(bits) - 1, F.lit(0))
+    turned = F.zip_with(F.slice(bits, F.lit(2), rest), F.slice(bits, F.lit(1), rest), lambda b, a: b != a)
+    turns = F.filter(F.transform(turned, lambda t, i: F.when(t, i + 1)), lambda i: i.isNotNull())
     edges = F.concat(F.array(F.lit(0)), turns, F.array(n))
     runs = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), F.slice(edges, F.lit(1), F.size(edges) - 1), lambda e, b: e - b)
     return F.when(F.get(bits, 0) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)

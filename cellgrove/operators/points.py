@@ -23,17 +23,36 @@ def crop(points: DataFrame, bounds: Bounds, closed: bool = True, require: bool =
     return out
 
 
-def ordinal(points: DataFrame, key: str = "orig_index", out: str = "ordinal") -> DataFrame:
-    """Dense 0-based positions in ascending key order, without gathering the rows in one task.
+def _range_of(key: str, bounds: list) -> Column:
+    """How many of the sorted bounds lie under the key, by binary search; a null key is in range 0."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    within = lambda at, n: F.get(F.lit(bounds), at + n - 1) < F.col(key)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, n: F.when(within(at, n), at + n).otherwise(at))
+
+
+def running_sum(rows: DataFrame, key: str, amount: Column, out: str) -> DataFrame:
+    """Adds the sum of the amounts of all rows up to this one in ascending order of a numeric key, nulls first.
 
-    Range-sorted partitions are counted, and each position is its place in the partition plus the rows before it.
+    Approximate quantiles cut the key into fixed ranges, some for every shuffle partition. Each range is summed up in
+    order on its own, after the totals of the ranges before it. The bounds are found once and are values, so every
+    branch of the plan, and every task that runs again, puts a row into the same range.
     """
-    part = points.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(key)
-    numbered = part.withColumn("_i", F.row_number().over(w))
-    sizes = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return numbered.join(before, "_p").withColumn(out, (F.col("_i") - 1 + F.col("_b")).cast("long")).drop("_p", "_i", "_b")
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 4 * n)).first()[0] or []
+    ranged = rows.withColumns({"_p": _range_of(key, sorted(set(bounds))), "_a": amount})
+    totals = ranged.groupBy("_p").agg(F.sum("_a").alias("_t"))
+    up_to_range = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # n rows at most
+    before = totals.select("_p", F.coalesce(F.sum("_t").over(up_to_range), F.lit(0)).alias("_b"))
+    within = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("_s", F.sum("_a").over(within)).join(F.broadcast(before), "_p")
+    return summed.withColumn(out, F.col("_s") + F.col("_b")).drop("_p", "_a", "_s", "_b")
+
+
+def ordinal(points: DataFrame, key: str = "orig_index", out: str = "ordinal") -> DataFrame:
+    """Dense 0-based positions in ascending key order, without gathering the rows in one task."""
+    return running_sum(points, key, F.lit(1).cast("long"), out).withColumn(out, F.col(out) - 1)
 
 
 def thin(points: DataFrame, k: int = 12, key: str = "orig_index") -> DataFrame:

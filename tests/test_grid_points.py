@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.operators import points
+from cellgrove.operators import audit, points
 from cellgrove.operators.grid import Grid, GridConflict
 
 TABLE = "orig_index long, x double, y double, z double"
@@ -50,6 +51,29 @@ def test_crops(spark):
         points.crop(d, (8, 8, 9, 9), require=True)
 
 
+def test_ordinals_of_many_rows(spark):
+    """Positions stay dense when the rows carry further columns: every branch must cut the same ranges."""
+    d = spark.range(400_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("orig_index"), F.col("id").alias("kept"))
+    r = points.ordinal(d).agg(F.countDistinct("ordinal").alias("n"), F.min("ordinal").alias("a"), F.max("ordinal").alias("z"), F.countDistinct("kept").alias("k")).first()
+    assert tuple(r) == (400_000, 0, 399_999, 400_000)
+
+
+def test_running_sums_over_ties_nulls_and_nothing(spark):
+    d = spark.createDataFrame([(None, 1), (5, 2), (5, 3), (-7, 4), (1 << 40, 5)], "k long, n long")
+    s = points.running_sum(d, "k", F.col("n"), "upto").collect()
+    assert sorted(r.upto for r in s if r.k != 5) == [1, 5, 15] and max(r.upto for r in s if r.k == 5) == 10
+    assert points.running_sum(d.limit(0), "k", F.col("n"), "upto").collect() == []
+
+
+def test_quantiles_from_ranges(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate((rng.normal(size=20_001), np.repeat(0.25, 5_000)))
+    d = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    q = audit.quantiles(d, "v").first()
+    assert q.n == len(v) and np.allclose([q.least, q.median, q.p90, q.p99, q.most, q["mean"]], [*np.quantile(v, [0, 0.5, 0.9, 0.99, 1]), v.mean()])
+    assert tuple(audit.quantiles(d.limit(0), "v").first()) == (0, None, None, None, None, None, None)
+
+
 def test_ordinals_and_thinning(spark):
     d = spark.range(1000).select((F.col("id") * 3 + 5).alias("orig_index"), F.rand(1).alias("x")).repartition(7)
     o = {r.orig_index: r.ordinal for r in points.ordinal(d).collect()}
