@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, hmm, minhash, mixing, oracles, quality, secrets, substring, suffix, tools
+from . import decontaminate, fingerprint, hmm, merkle, minhash, mixing, oracles, quality, secrets, substring, suffix, tools
 from .common import read
 
 
@@ -51,10 +51,15 @@ def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.link(*tools.exchanges(read(spark, sf_dir, "conversations")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = merkle.manifest(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: trained models (1, 4, 7), hashes that DuckDB lacks (6, 8); see tests/llm."""
-    return {"op2_substring_dedup": oracles.OP2, "op3_minhash": oracles.OP3, "op5_suffix_dedup": oracles.OP5, "op9_decontaminate": oracles.OP9, "op10_tool_links": oracles.OP10}
+    return {"op2_substring_dedup": oracles.OP2, "op3_minhash": oracles.OP3, "op5_suffix_dedup": oracles.OP5, "op9_decontaminate": oracles.OP9, "op10_tool_links": oracles.OP10, "op12_merkle": merkle.manifest_sql()}
