@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, hmm, merkle, minhash, mixing, oracles, quality, secrets, substring, suffix, tools
+from . import decontaminate, fingerprint, hmm, merkle, minhash, mixing, oracles, quality, secrets, substring, suffix, tools, whitening
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.link(*tools.exchanges(read(spark, sf_dir, "conversations")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("vec_id", F.col("vec_id").cast("long"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = merkle.manifest(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
