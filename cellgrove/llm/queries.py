@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, hmm, merkle, minhash, mixing, oracles, quality, secrets, substring, suffix, tools, whitening
+from . import decontaminate, fingerprint, hmm, licenses, merkle, minhash, mixing, oracles, quality, secrets, substring, suffix, tools, whitening
 from .common import read
 
 
@@ -60,10 +60,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan_texts(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others have no SQL: trained models (1, 4, 7), hashes that DuckDB lacks (6, 8); see tests/llm."""
+    """The others have no SQL: trained models (1, 4, 7), hashes that DuckDB lacks (6, 8), eigenvectors (11), chained matches (13); see tests/llm."""
     return {"op2_substring_dedup": oracles.OP2, "op3_minhash": oracles.OP3, "op5_suffix_dedup": oracles.OP5, "op9_decontaminate": oracles.OP9, "op10_tool_links": oracles.OP10, "op12_merkle": merkle.manifest_sql()}
