@@ -19,8 +19,8 @@ TABLE = bytes(32 if FOLD[c] in SEPARATORS else FOLD[c] for c in range(256))
 WINDOW = 10
 #: Words by which a proximity match may be longer than its window.
 SLOP = 2
-#: Text bytes that one shard of the index covers, and bytes hashed at a time.
-SHARD_BYTES, PIECE = 4 << 20, 1 << 20
+#: Text bytes that one shard of the index covers.
+SHARD_BYTES = 4 << 20
 #: Bits of the filter of terms that the workers get: of this size however many terms there are.
 FILTER_BITS = 24
 POSTINGS = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("begin", pa.binary()), ("n", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
@@ -35,17 +35,10 @@ def words(text: bytes) -> list[bytes]:
 
 def term_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word begins, and its 64-bit hash, by which the index knows a term."""
-    a = np.frombuffer(data.translate(TABLE) + b" ", np.uint8)
-    space = a == 32
-    edge = np.diff(np.concatenate(([True], space)).view(np.int8))
+    raw = data.translate(TABLE) + b" "
+    edge = np.diff(np.concatenate(([True], np.frombuffer(raw, np.uint8) == 32)).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    out, i = np.empty(len(begin), np.uint64), 0
-    while i < len(begin):  # piece by piece, so memory doesn't grow with the text
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE)))
-        p = X.prefix(X.BYTE[a[begin[i] : end[j - 1]]])
-        out[i:j] = X.range_hash(p, begin[i:j] - begin[i], end[i:j] - begin[i])
-        i = j
-    return begin, out
+    return begin, X.word_hashes(raw, begin, end)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ chunk, and neither positions nor texts travel.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -80,6 +82,33 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_ids(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each word data[begin:end], in two halves, equal for equal words only.
+
+    Words of up to 15 bytes are taken as they are, with their length, and stirred by an invertible step, so different
+    ones always differ; longer ones are known by a cryptographic digest.
+    """
+    at = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))  # the 8 bytes from each place on
+    size = end - begin
+    low = at[begin] & _LOW_BYTES[np.minimum(size, 8)]
+    high = at[begin + 8] & _LOW_BYTES[np.clip(size - 8, 0, 7)] | np.minimum(size, 15).astype(np.uint64) << np.uint64(56)
+    a = low + mix(high)
+    b = high + mix(a)
+    if len(long := np.flatnonzero(size > 15)):
+        digests = b"".join(hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(begin[long].tolist(), end[long].tolist()))
+        a[long], b[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return a, b
+
+
+def word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The words' ids folded to 64 bits."""
+    a, b = word_ids(data, begin, end)
+    return mix(a ^ mix(b + np.uint64(0x9E3779B97F4A7C15)))
+
+
 def bucket_of(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """The buckets of bits-bit hashes: equal ranges, told by the upper 32 bits at most."""
     high = values >> np.uint64(max(0, bits - 32))

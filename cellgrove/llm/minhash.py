@@ -28,11 +28,11 @@ _B = X.mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64))
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, by text, and where each text's begin (one more than texts)."""
     texts = [t.lower() for t in texts]
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = SPACE[data]
+    raw = b" ".join(texts) + b" "
+    space = SPACE[np.frombuffer(raw, np.uint8)]
     edge = np.diff(np.concatenate(([True], space)).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    words = X.range_hash(X.prefix(X.BYTE[data]), begin, end)
+    words = X.word_hashes(raw, begin, end)
     bounds = np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
     n = np.diff(bounds)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))

@@ -34,17 +34,18 @@ class Chunk:
         texts = [t or b"" for t in texts]
         order = ordered(ids, texts)
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
-        data = np.frombuffer(b" ".join(self.texts) + b" ", np.uint8)
-        space = SPACE[data]
+        raw = b" ".join(self.texts) + b" "
+        space = SPACE[np.frombuffer(raw, np.uint8)]
         edge = np.diff(np.concatenate(([True], space)).view(np.int8))
         begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.hashes = X.range_hash(X.prefix(X.BYTE[data]), begin, end)
+        first, second = X.word_ids(raw, begin, end)
+        self.hashes = X.mix(first)
         stops = np.cumsum([len(t) + 1 for t in self.texts])
         self.bounds = np.searchsorted(begin, np.concatenate(([0], stops)))  # words before each document
         self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.bounds))
         self.window, self.block = window, (window + 1) // 2
         self.p = X.prefix(self.hashes)
-        self.p2 = X.prefix(X.mix(self.hashes + np.uint64(1)))  # for a second, independent hash of full windows
+        self.p2 = X.prefix(X.mix(second + np.uint64(1)))  # for a second hash of full windows, from the words' other halves
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts within one document, and their hashes."""

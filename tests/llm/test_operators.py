@@ -568,7 +568,6 @@ def test_proximity_by_brute_force(spark):
 def test_index_answers_other_benchmarks(spark, monkeypatch):
     """One stored index of small shards and all terms, two benchmarks, very long documents beside empty ones."""
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(decontaminate, "PIECE", 64)
     rng = random.Random(22)
     rows = [(i, prose(rng, rng.choice([0, 3, 400]), 10**6)) for i in range(30)] + [(31, prose(rng, 30_000, 50))]
     index = settle(decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
