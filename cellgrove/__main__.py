@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import queries, queries_tables
+from . import queries, queries_files, queries_tables
 from .functions.scalar import suffix_code
 from .operators import matching, points
 from .sources import las
@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    every = queries.queries() | queries_tables.queries()
+    every = queries.queries() | queries_tables.queries() | queries_files.queries()
     if a.command == "list":
         print("\n".join(sorted(every)))
         return

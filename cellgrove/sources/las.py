@@ -1,23 +1,24 @@
-"""LAS 1.4 point format 8 files as a Spark data source: format("las") reads and writes.
+"""LAS 1.4 point format 8 files as a Spark data source: format("las") reads and writes, on any store of sources.store.
 
 One input partition is a range of records of one file, so a file is read by many tasks. orig_index is the record's
-place in its file plus the records of the files before it (in path order).
+place in its file plus the records of the files before it (in path order). A zone map (see `write_zones`) keeps the
+bounds of each run of records, so filters on x, y, z and orig_index read only the runs that can match.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from . import store
+
 RECORD = np.dtype([("x_raw", "<i4"), ("y_raw", "<i4"), ("z_raw", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("classification", "u1"), ("user_data", "u1"), ("scan_angle", "<i2"), ("source_id", "<u2"), ("gps_time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2"), ("nir", "<u2")])
 CORE = "orig_index long, x double, y double, z double, x_raw int, y_raw int, z_raw int, red int, green int, blue int, nir int, intensity int, return_number tinyint, number_of_returns tinyint, flags int, classification smallint, user_data smallint, scan_angle smallint, source_id int, gps_time double"
 # The extra-bytes types of the published LAS 1.4 specification.
@@ -68,7 +69,7 @@ class Header:
 
     @classmethod
     def read(cls, path: str) -> Header:
-        with open(path, "rb") as f:
+        with store.reader(path) as f:
             first = f.read(HEADER_BYTES)
             if len(first) < HEADER_BYTES or first[:4] != b"LASF":
                 raise LasError(f"{path} has no LAS 1.4 header")
@@ -110,14 +111,15 @@ class Range(InputPartition):
 
 
 def paths_of(path: str) -> list[str]:
-    found = sorted(glob.glob(f"{path}/*.las")) if os.path.isdir(path) else sorted(glob.glob(path))
+    found = store.files(path, ".las")
     if not found:
         raise LasError(f"no LAS file at {path}")
     return found
 
 
 class LasSource(DataSource):
-    """Options: path, chunk (records of a partition, default 1,000,000), limit (partitions), columns (comma-separated)."""
+    """Options: path, chunk (records of a partition, default 1,000,000), limit (partitions), columns (comma-separated),
+    zones (the folder of a zone map of the path); for writing see LasWriter."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,27 +139,57 @@ class LasSource(DataSource):
         return LasWriter(self.options, schema)
 
 
+AXES = ("x", "y", "z", "orig_index")
+
+
 class LasReader(DataSourceReader):
     def __init__(self, options, schema):
         self.options, self.wanted = options, schema
         self.box: dict[str, tuple[float, float]] = {}
 
     def pushFilters(self, filters):
-        """Bounds of x, y and z skip files whose header lies outside; Spark still applies every filter."""
+        """Bounds of x, y, z and orig_index skip files by their headers and runs by a zone map; Spark applies all filters again."""
         for f in filters:
-            at, v = getattr(f, "attribute", None), getattr(f, "value", None)
-            if at and len(at) == 1 and at[0] in ("x", "y", "z") and isinstance(v, (int, float)):
+            at, v, kind = getattr(f, "attribute", None), getattr(f, "value", None), type(f).__name__
+            if kind == "In" and f.value:
+                v, kind = f.value, "In"
+            if at and len(at) == 1 and at[0] in AXES and all(isinstance(x, (int, float)) for x in (v if kind == "In" else (v,))):
                 lo, hi = self.box.get(at[0], (-float("inf"), float("inf")))
-                kind = type(f).__name__
-                self.box[at[0]] = (max(lo, v), hi) if kind.startswith("Greater") else (lo, min(hi, v)) if kind.startswith("Less") else (lo, hi)
+                low, high = (min(v), max(v)) if kind == "In" else (v, v)
+                if at[0] == "orig_index":  # whole numbers: strict bounds are the next ones
+                    low, high = low + (kind == "GreaterThan"), high - (kind == "LessThan")
+                self.box[at[0]] = (max(lo, low) if kind.startswith(("Greater", "Equal", "In")) else lo, min(hi, high) if kind.startswith(("Less", "Equal", "In")) else hi)
             yield f
 
+    def _meets(self, low, high) -> bool:
+        """Whether records between low and high (x, y, z, orig_index) can pass the filters."""
+        return all(low[AXES.index(a)] <= hi and high[AXES.index(a)] >= lo for a, (lo, hi) in self.box.items())
+
+    def _runs(self, h: Header, base: int, zones: list[dict] | None, size: int) -> list[tuple[int, int]]:
+        """Pieces (first, count) of a file that can hold what is asked for, of at most `size` records."""
+        lo, hi = self.box.get("orig_index", (0, base + h.count))
+        first, stop = int(max(0, lo - base)), int(min(h.count, hi - base + 1))
+        if zones is None:
+            return [(i, min(size, stop - i)) for i in range(first, stop, size)]
+        out: list[tuple[int, int]] = []
+        if sum(z["count"] for z in zones) != h.count or any(z["file_records"] != h.count for z in zones):
+            raise LasError("the zone map is not of this file as it is")
+        for z in zones:
+            i, j = max(z["first"], first), min(z["first"] + z["count"], stop)
+            if i < j and self._meets([z[f"{a}_low"] for a in "xyz"] + [base + i], [z[f"{a}_high"] for a in "xyz"] + [base + j - 1]):
+                if out and sum(out[-1]) == i and out[-1][1] + j - i <= size:
+                    out[-1] = (out[-1][0], j - out[-1][0])
+                else:
+                    out.append((i, j - i))
+        return out
+
     def partitions(self):
         size, out, base = int(self.options.get("chunk", 1_000_000)), [], 0
+        zones = load_zones(self.options["zones"]) if "zones" in self.options and self.box else None
         for p in paths_of(self.options["path"]):
             h = Header.read(p)
-            if all(h.low["xyz".index(a)] <= hi and h.high["xyz".index(a)] >= lo for a, (lo, hi) in self.box.items()):
-                out += [Range(p, i, min(size, h.count - i), base) for i in range(0, h.count, size)]
+            if h.count and self._meets((*h.low, base), (*h.high, base + h.count - 1)):
+                out += [Range(p, i, n, base) for i, n in self._runs(h, base, None if zones is None else zones.get(p, []), size)]
             base += h.count
         limit = self.options.get("limit")
         return out[: int(limit)] if limit else out
@@ -169,17 +201,57 @@ class LasReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, h = to_arrow_schema(self.wanted), Header.read(part.path)
-        with open(part.path, "rb") as f:
-            f.seek(h.offset + part.first * h.record_length)
-            for i in range(0, part.count, 200_000):
-                n = min(200_000, part.count - i)
-                yield _batch(decode(f.read(n * h.record_length), h, part.base + part.first + i), schema)
+        for first, data in _blocks(part.path, h, part.first, part.count):
+            yield _batch(decode(data, h, part.base + first), schema)
+
+
+def _blocks(path: str, h: Header, first: int, count: int, size: int = 200_000):
+    """(first record, bytes) of a range of records, some at a time."""
+    with store.reader(path) as f:
+        for i in range(first, first + count, size):
+            n = min(size, first + count - i)
+            data = f.read_at(n * h.record_length, h.offset + i * h.record_length)
+            if len(data) < n * h.record_length:
+                raise LasError(f"{path} ends before record {i + n}")
+            yield i, data
+
+
+ZONES = "path string, file_records long, first long, count long, x_low double, x_high double, y_low double, y_high double, z_low double, z_high double"
+
+
+def write_zones(spark: SparkSession, path: str, zones: str, run: int = 65_536, together: int = 64) -> None:
+    """A zone map of LAS files, as Parquet in the new folder `zones`: the bounds of every `run` records.
+
+    One pass over the records, by tasks of `together` runs; the map has a row for each run and is read where a scan is
+    planned. Files are known by path and record count; a file that the map doesn't know is an error at the scan.
+    """
+    pieces = [(p, h.count, i, min(run * together, h.count - i)) for p in paths_of(path) for h in [Header.read(p)] for i in range(0, h.count, run * together)]
+
+    def bounds(batches):
+        for b in batches:
+            for p, n, first, count in zip(*(c.to_pylist() for c in b.columns)):
+                h, rows = Header.read(p), []
+                for i, data in _blocks(p, h, first, count, run):
+                    cols = decode(data, h, i)
+                    rows.append((p, n, i, len(cols["x"]), *(float(v) for a in "xyz" for v in (cols[a].min(), cols[a].max()))))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[c.split()[0] for c in ZONES.split(", ")])
+
+    asked = spark.createDataFrame(pieces, "path string, file_records long, first long, count long").repartition(max(1, len(pieces)))
+    asked.mapInArrow(bounds, ZONES).repartitionByRange(max(1, len(pieces) // 64), "path", "first").sortWithinPartitions("path", "first").write.mode("errorifexists").parquet(zones)
+
+
+def load_zones(zones: str) -> dict[str, list[dict]]:
+    """The runs of each file in a zone map, in order."""
+    out: dict[str, list[dict]] = {}
+    for f in store.files(zones, ".parquet"):
+        for z in pq.read_table(store.reader(f)).to_pylist():
+            out.setdefault(z["path"], []).append(z)
+    return {p: sorted(v, key=lambda z: z["first"]) for p, v in out.items()}
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
-    count: int
+    names: list[str]
 
 
 def header_bytes(count: int, scale, shift, low, high, extra: list[tuple[str, int]]) -> bytes:
@@ -198,58 +270,64 @@ def header_bytes(count: int, scale, shift, low, high, extra: list[tuple[str, int
 
 
 class LasWriter(DataSourceArrowWriter):
-    """One file per partition, written beside its final name and moved there on commit.
+    """Files of at most `records` points each, staged by task attempt and moved into place by one commit.
 
-    Options: path, scale and offset (three numbers each, comma-separated). Columns beyond the core are extra dimensions.
+    Options: path, scale and offset (three numbers each, comma-separated), records (default 1,000,000). Columns beyond
+    the core are extra dimensions. Without any point one file with no records is written.
     """
 
     def __init__(self, options, schema):
-        self.path = options["path"]
         triple = lambda k, d: tuple(map(float, options.get(k, d).split(",")))
         self.scale, self.shift = triple("scale", "0.001,0.001,0.001"), triple("offset", "0,0,0")
+        self.records = int(options.get("records", 1_000_000))
         core = {c.split()[0] for c in CORE.split(", ")}
         self.extra = [(f.name, EXTRA_OF[f.dataType.simpleString()]) for f in schema if f.name not in core]
-        if os.path.exists(self.path) and os.listdir(self.path):
-            raise LasError(f"{self.path} is not empty")
+        self.staging = store.Staging.begin(options["path"])
 
     def write(self, iterator):
-        os.makedirs(self.path, exist_ok=True)
-        temp = os.path.join(self.path, f".{uuid.uuid4().hex}.part")
         dtype = np.dtype([*RECORD.descr, *((n, EXTRA_TYPES[k]) for n, k in self.extra)])
-        count, low, high = 0, np.full(3, np.inf), np.full(3, -np.inf)
-        with open(temp, "wb") as f:
-            f.write(header_bytes(0, self.scale, self.shift, (0, 0, 0), (0, 0, 0), self.extra))
-            for b in iterator:
-                cols = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
-                p = np.zeros(b.num_rows, dtype)
-                for n in dtype.names:
-                    if n in cols:
-                        p[n] = cols[n]
-                for i, a in enumerate("xyz"):
-                    if f"{a}_raw" not in cols:
-                        p[f"{a}_raw"] = np.round((cols[a] - self.shift[i]) / self.scale[i])
-                    v = p[f"{a}_raw"] * self.scale[i] + self.shift[i]
-                    if len(v):
-                        low[i], high[i] = min(low[i], v.min()), max(high[i], v.max())
-                if "return_number" in cols:
-                    p["returns"] = cols["return_number"].astype(np.uint8) | (cols["number_of_returns"].astype(np.uint8) << 4)
-                f.write(p.tobytes())
-                count += len(p)
-            f.seek(0)
-            f.write(header_bytes(count, self.scale, self.shift, low if count else (0, 0, 0), high if count else (0, 0, 0), self.extra))
-        return Written(temp, count)
+        names, held, count = [], [], 0
+        for b in iterator:
+            at = 0
+            while at < b.num_rows:
+                p = self._packed(b.slice(at, self.records - count), dtype)
+                held.append(p)
+                at, count = at + len(p), count + len(p)
+                if count == self.records:
+                    names.append(self._file(held, len(names)))
+                    held, count = [], 0
+        if held or not names:
+            names.append(self._file(held or [np.zeros(0, dtype)], len(names)))
+        return Written(names)
+
+    def _packed(self, b: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
+        cols = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+        p = np.zeros(b.num_rows, dtype)
+        for n in dtype.names:
+            if n in cols:
+                p[n] = cols[n]
+        for i, a in enumerate("xyz"):
+            if f"{a}_raw" not in cols:
+                p[f"{a}_raw"] = np.round((cols[a] - self.shift[i]) / self.scale[i])
+        if "return_number" in cols:
+            p["returns"] = cols["return_number"].astype(np.uint8) | (cols["number_of_returns"].astype(np.uint8) << 4)
+        return p
+
+    def _file(self, held: list[np.ndarray], number: int) -> str:
+        count = sum(map(len, held))
+        raw = np.array([[[p[f"{a}_raw"].min(), p[f"{a}_raw"].max()] for a in "xyz"] for p in held if len(p)]).reshape(-1, 3, 2)
+        ends = np.sort(raw * np.array(self.scale)[:, None] + np.array(self.shift)[:, None], axis=2) if count else np.zeros((1, 3, 2))
+        low, high = ends[:, :, 0].min(0), ends[:, :, 1].max(0)
+        header = header_bytes(count, self.scale, self.shift, low, high, self.extra)
+        return self.staging.write([header, *(p.tobytes() for p in held)], number, f".{count}.las")
 
     def commit(self, messages):
-        for i, m in enumerate(m for m in messages if m is not None):
-            if m.count or i == 0:
-                os.replace(m.path, os.path.join(self.path, f"part-{i:05d}.las"))
-            else:
-                os.remove(m.path)
+        names = sorted(n for m in messages if m is not None for n in m.names)
+        full = [n for n in names if not n.endswith(".0.las")] or names[:1]
+        self.staging.commit([(n, f"part-{i:05d}.las") for i, n in enumerate(full)])
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        self.staging.abort()
 
 
 def register(spark: SparkSession) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.points import ordinal
+from . import store
 
 TYPES = {"f4": "float", "f8": "double", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "long", "u1": "smallint", "u2": "int", "b1": "boolean"}
 
@@ -42,22 +43,34 @@ def write_npy(df: DataFrame, path: str, columns: dict[str, str], key: str) -> No
     ordinal(df, key, "_o").select("_o", *columns).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def _head(path: str) -> tuple[np.dtype, tuple[int, ...], int]:
+    """Element type, shape and place of the first element of an npy file in row-major order."""
+    with store.reader(path) as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if fortran:
+            raise ValueError(f"{path} is in column-major order")
+        return dtype, shape, f.tell()
+
+
 def read_npy(spark: SparkSession, path: str, rows: int = 1_000_000) -> DataFrame:
-    """position and the fields of a structured array, or `value` of a plain one (row-major), by ranges of rows."""
-    head = np.load(path, mmap_mode="r")
-    fields = {c: head.dtype[c] for c in head.dtype.names} if head.dtype.names else {"value": head.dtype}
+    """position and the fields of a structured array, or `value` of a plain one (row-major), by byte ranges of any store."""
+    dtype, shape, offset = _head(path)
+    size = int(np.prod(shape))
+    fields = {c: dtype[c] for c in dtype.names} if dtype.names else {"value": dtype}
     schema = "position long, " + ", ".join(f"`{c}` {TYPES[t.str[1:]]}" for c, t in fields.items())
 
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                part = np.load(path, mmap_mode="r").reshape(-1)[k * rows : (k + 1) * rows]
+                n = min(rows, size - k * rows)
+                part = np.frombuffer(store.read(path, offset + k * rows * dtype.itemsize, n * dtype.itemsize), dtype)
                 cols = [part[c] if part.dtype.names else part for c in fields]
                 kinds = [pa.int16() if c.dtype == np.uint8 else pa.int32() if c.dtype == np.uint16 else None for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + k * rows), *(pa.array(np.ascontiguousarray(c), t) for c, t in zip(cols, kinds))], names=["position", *fields])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + k * rows), *(pa.array(np.ascontiguousarray(c), t) for c, t in zip(cols, kinds))], names=["position", *fields])
 
-    parts = max(1, -(-head.size // rows))
-    return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
+    parts = -(-size // rows)
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, schema)
 
 
 def write_grid(cells: DataFrame, path: str, rows: int, cols: int, values: dict[str, str]) -> None:
@@ -84,8 +97,8 @@ def write_grid(cells: DataFrame, path: str, rows: int, cols: int, values: dict[s
 
 def read_grid(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """r, c and the named values of the files that write_grid made, met by place."""
-    out, cols = None, np.load(os.path.join(path, f"{names[0]}.npy"), mmap_mode="r").shape[1]
+    out, cols = None, _head(f"{path}/{names[0]}.npy")[1][1]
     for n in names:
-        one = read_npy(spark, os.path.join(path, f"{n}.npy")).withColumnRenamed("value", n)
+        one = read_npy(spark, f"{path}/{n}.npy").withColumnRenamed("value", n)
         out = one if out is None else out.join(one, "position")
     return out.select((F.floor(F.col("position") / cols)).cast("int").alias("r"), (F.col("position") % cols).cast("int").alias("c"), *names)

@@ -83,11 +83,15 @@ def png(rows: int, cols: int, rgb: bytes) -> bytes:
 
 
 def write_tiles(cells: DataFrame, folder: str, rows: int, cols: int, size: int = 1024, step: int = 768) -> DataFrame:
-    """Writes red8, green8, blue8 of the cells as tile_r*_c*.png; path, bytes of each. A tile is one group, of bounded size."""
+    """Writes red8, green8, blue8 of the cells as tile_r*_c*.png, on any store; path, bytes of each.
+
+    A tile is one group, of bounded size. A task that runs again puts the same file into the same place.
+    """
     import numpy as np
     import pandas as pd
 
     from ..operators.masks import tile_offsets
+    from . import store
 
     offsets = lambda at, n: F.filter(tile_offsets(F.lit(n), size, step), lambda o: (o <= F.col(at)) & (F.col(at) < o + size))
     # the tiles of a cell follow from its place: four at most
@@ -98,10 +102,8 @@ def write_tiles(cells: DataFrame, folder: str, rows: int, cols: int, size: int =
         h, w = min(size, rows - r0), min(size, cols - c0)
         image = np.zeros((h, w, 3), np.uint8)
         image[pdf.r - r0, pdf.c - c0] = pdf[["red8", "green8", "blue8"]].to_numpy()
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"tile_r{r0}_c{c0}.png")
-        with open(path, "wb") as f:
-            f.write(data := png(h, w, image.tobytes()))
+        path = f"{folder}/tile_r{r0}_c{c0}.png"
+        store.replace(path, data := png(h, w, image.tobytes()))
         return pd.DataFrame({"path": [path], "bytes": [len(data)]})
 
     return at.select("row0", "col0", "r", "c", "red8", "green8", "blue8").groupBy("row0", "col0").applyInPandas(run, "path string, bytes long")
