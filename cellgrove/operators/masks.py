@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOX_FRACTION, TILE, TILE_STEP
 from ..functions.scalar import box_area, f32
+from . import intervals
 
 
 def rle_encode(bits: Column) -> Column:
@@ -21,28 +20,9 @@ def rle_encode(bits: Column) -> Column:
     return F.when(F.get(bits, 0) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
 
 
-def _spans(runs: np.ndarray | None) -> list[dict] | None:
-    if runs is None:
-        return None
-    ends = np.cumsum(np.asarray(runs, np.int64))
-    b, e = ends[:-1:2], ends[1::2]
-    return [{"b": int(x), "e": int(y)} for x, y in zip(b, e) if y > x]
-
-
-def rle_spans(counts: Column) -> Column:
-    """The set runs as an array of (b, e): half-open ranges of flat positions; by running sums, linear in the runs."""
-
-    def every(column: pd.Series) -> pd.Series:
-        return column.map(_spans)
-
-    return F.pandas_udf(every, "array<struct<b:int,e:int>>")(counts)
-
-
 def rle_decode(masks: DataFrame, counts: str = "counts", width: str = "w") -> DataFrame:
-    """One row for each set pixel: the other columns, r, c."""
-    keep = [c for c in masks.columns if c != counts]
-    d = masks.withColumn("_s", F.explode(rle_spans(F.col(counts)))).withColumn("_p", F.explode(F.sequence(F.col("_s.b"), F.col("_s.e") - 1)))
-    return d.select(*keep, F.floor(F.col("_p") / F.col(width)).cast("int").alias("r"), (F.col("_p") % F.col(width)).cast("int").alias("c"))
+    """One row for each set pixel: the other columns, r, c. Operators on whole masks take intervals instead."""
+    return intervals.pixels(intervals.of_runs(masks, counts, width))
 
 
 def drop_large_boxes(detections: DataFrame, fraction: float = BOX_FRACTION) -> DataFrame:
@@ -51,8 +31,9 @@ def drop_large_boxes(detections: DataFrame, fraction: float = BOX_FRACTION) -> D
 
 
 def union_masks(detections: DataFrame, by: list[str]) -> DataFrame:
-    """The greatest score of each pixel: by..., r, c, score."""
-    return rle_decode(detections).groupBy(*by, "r", "c").agg(F.max(f32(F.col("score"))).alias("score"))
+    """The greatest score of each pixel: by..., r, c, score; overlaps are settled among intervals."""
+    cut = intervals.of_runs(detections.withColumn("score", f32(F.col("score"))))
+    return intervals.pixels(intervals.union(cut, by))
 
 
 def stitch(tiles: DataFrame) -> DataFrame:
@@ -99,3 +80,19 @@ def fitting(detections: DataFrame) -> DataFrame:
     """Without detections whose mask has another size (h, w) than their tile (tile_h, tile_w), or runs that don't fill it."""
     filled = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) == F.col("h") * F.col("w")
     return detections.where((F.col("h") == F.col("tile_h")) & (F.col("w") == F.col("tile_w")) & filled)
+
+
+def resized(detections: DataFrame, by: list[str]) -> DataFrame:
+    """Detections with the runs, h and w of their image (tile_h, tile_w): masks of another size are stretched to it.
+
+    by: columns that tell detections apart. Masks whose runs don't fill their own size go.
+    """
+    size = F.col("h").cast("long") * F.col("w")
+    whole = detections.where(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) == size)
+    same = (F.col("h") == F.col("tile_h")) & (F.col("w") == F.col("tile_w"))
+    other = whole.where(~same)
+    cut = intervals.of_runs(other.select(*by, "counts", "h", "w", "tile_h", "tile_w"))
+    cut = intervals.stretched(cut, *map(F.col, ("h", "w", "tile_h", "tile_w")))
+    image = other.withColumns({"h": F.col("tile_h"), "w": F.col("tile_w")}).drop("counts")
+    runs = intervals.runs_of(cut, image, by).select(*by, "counts")
+    return whole.where(same).unionByName(image.join(runs, by).select(*whole.columns))

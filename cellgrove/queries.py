@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import CLASSES, IDS, LAS_CODES, THRESHOLDS, Fusion
 from .functions import scalar as S
-from .operators import audit, fusion, masks, matching, metrics, points, raster, stencil, transfer
+from .operators import audit, fusion, intervals, masks, matching, metrics, points, raster, stencil, transfer
 from .operators.grid import Grid
 from .plans import experiments
 
@@ -697,21 +697,32 @@ def _(s, d):
     return doubles(masks.union_masks(mask_rows(s, d).withColumn("tile", F.expr("vec_id div 10")), ["tile"]))
 
 
+@q("mask_union_runs", f"WITH {_BITS} px AS (SELECT vec_id // 10 AS tile, CAST(p // 8 AS INT) AS r, CAST(p % 8 AS INT) AS c, max(score) AS score FROM bits WHERE b = 1 GROUP BY 1, 2, 3), st AS (SELECT *, CASE WHEN lag(c) OVER w = c - 1 AND lag(score) OVER w = score THEN 0 ELSE 1 END AS f FROM px WINDOW w AS (PARTITION BY tile, r ORDER BY c)), g AS (SELECT *, sum(f) OVER (PARTITION BY tile, r ORDER BY c) AS k FROM st) SELECT tile, r, min(c) AS b, max(c) + 1 AS e, max(score) AS score FROM g GROUP BY tile, r, k")
+def _(s, d):
+    return doubles(intervals.union(intervals.of_runs(mask_rows(s, d).withColumn("tile", F.expr("vec_id div 10"))), ["tile"]).select("tile", "r", "b", "e", "score"))
+
+
+@q("mask_resized", f"WITH {_BITS} px AS (SELECT vec_id, R * (3 + vec_id % 19) + C AS p, (3 + vec_id % 19) * (2 + vec_id % 13) AS n FROM (SELECT vec_id, CAST(a.i AS BIGINT) AS R, CAST(b.i AS BIGINT) AS C FROM (SELECT DISTINCT vec_id FROM bits), range(14) a(i), range(21) b(i) WHERE a.i < 2 + vec_id % 13 AND b.i < 3 + vec_id % 19)), v AS (SELECT px.vec_id, px.p, px.n, bits.b FROM px JOIN bits ON bits.vec_id = px.vec_id AND bits.p = ((2 * (px.p // (3 + px.vec_id % 19)) + 1) * 8 // (2 * (2 + px.vec_id % 13))) * 8 + (2 * (px.p % (3 + px.vec_id % 19)) + 1) * 8 // (2 * (3 + px.vec_id % 19))), ch AS (SELECT *, CASE WHEN b = coalesce(lag(b) OVER (PARTITION BY vec_id ORDER BY p), 0) THEN 0 ELSE 1 END AS f FROM v), rn AS (SELECT *, sum(f) OVER (PARTITION BY vec_id ORDER BY p) AS k FROM ch), lens AS (SELECT vec_id, k, count(*) AS n FROM rn GROUP BY 1, 2) SELECT vec_id, CASE WHEN min(k) = 1 THEN '0,' ELSE '' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY k) AS counts FROM lens GROUP BY vec_id")
+def _(s, d):
+    image = {"tile_h": (2 + F.col("vec_id") % 13).cast("int"), "tile_w": (3 + F.col("vec_id") % 19).cast("int")}
+    return masks.resized(mask_rows(s, d).withColumns(image), ["vec_id"]).select("vec_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
 @q("stitch_max", f"WITH {_BITS} e AS (SELECT 1) SELECT CAST(p // 8 + (vec_id % 3)*6 AS INT) AS r, CAST(p % 8 AS INT) AS c, label AS class, max(score) AS score FROM bits WHERE b = 1 GROUP BY 1, 2, 3")
 def _(s, d):
-    m = masks.rle_decode(mask_rows(s, d)).select(((F.col("vec_id") % 3) * 6).cast("int").alias("row0"), F.lit(0).alias("col0"), "r", "c", "class", "score")
-    return doubles(masks.stitch(m))
+    m = intervals.of_runs(mask_rows(s, d)).withColumns({"row0": ((F.col("vec_id") % 3) * 6).cast("int"), "col0": F.lit(0)})
+    return doubles(intervals.pixels(intervals.stitched(m)))
 
 
 @q("mask_coverage", f"WITH {_BITS} e AS (SELECT 1) SELECT class, CAST(count(*) FILTER (WHERE score > 0.1) AS DOUBLE)/64 AS coverage, max(score) AS top FROM (SELECT label AS class, p, max(score) AS score FROM bits WHERE b = 1 GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    return doubles(masks.coverage(masks.union_masks(mask_rows(s, d), ["class"]), 64))
+    return doubles(intervals.coverage(intervals.union(intervals.of_runs(mask_rows(s, d)), ["class"]), 64))
 
 
 @q("mask_boxes", f"WITH {_BITS} e AS (SELECT 1) SELECT vec_id, CAST(coalesce(min(p % 8) FILTER (WHERE b=1), 0) AS INT) AS x0, CAST(coalesce(min(p // 8) FILTER (WHERE b=1), 0) AS INT) AS y0, CAST(coalesce(max(p % 8) FILTER (WHERE b=1) + 1, 0) AS INT) AS x1, CAST(coalesce(max(p // 8) FILTER (WHERE b=1) + 1, 0) AS INT) AS y1 FROM bits GROUP BY 1")
 def _(s, d):
     m = mask_rows(s, d)
-    return masks.mask_boxes(masks.rle_decode(m), m, ["vec_id"])
+    return intervals.boxes(intervals.of_runs(m), m, ["vec_id"])
 
 
 @q("tile_offsets", "SELECT p_partkey, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS offsets FROM (SELECT DISTINCT p_partkey, o FROM (SELECT p_partkey, unnest(range(0, greatest(t-1024,0)+1, 768)) AS o FROM (SELECT p_partkey, p_size*100 AS t FROM part) UNION ALL SELECT p_partkey, greatest(p_size*100-1024,0) FROM part)) GROUP BY 1")
