@@ -118,23 +118,6 @@ def resize_mask(logits: DataFrame, small: Grid, large: Grid, value: str = "logit
     return d.select("r", "c", p.alias("probability"), (p > 0.5).alias("mask"))
 
 
-def inpaint(cells: DataFrame, grid: Grid, value: str) -> DataFrame:
-    """Empty cells take the mean of the filled cells of their 3 x 3 neighbourhood, ring by ring, until none is left.
-
-    A deterministic stand-in for fast-marching inpainting, not equal to it. Every eighth ring cuts the lineage, where a
-    checkpoint folder is set. A raster without any value stays as it is.
-    """
-    d, rings = cells, 0
-    if d.where(F.col(value).isNotNull()).isEmpty():
-        return d
-    while not d.where(F.col(value).isNull()).isEmpty():
-        near = _scatter(d.where(F.col(value).isNotNull()).withColumn("_v", F.col(value)), grid, 1, "_v").groupBy("r", "c").agg(F.avg("_v").alias("_m"))
-        d, rings = d.join(near, ["r", "c"], "left").withColumn(value, F.coalesce(value, "_m")).drop("_m"), rings + 1
-        if rings % 8 == 0 and d.sparkSession.sparkContext.getCheckpointDir():
-            d = d.checkpoint()
-    return d
-
-
 def grid_sample(cells: DataFrame, grid: Grid, at: DataFrame, value: str, out: str = "sample") -> DataFrame:
     """Rows of `at` (y, x in cells, cell centres at whole numbers) with the bilinear value; cells out of bounds count 0."""
     row, col = F.floor("y").cast("int"), F.floor("x").cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import CLASSES, IDS, LAS_CODES, THRESHOLDS, Fusion
 from .functions import scalar as S
-from .operators import audit, fusion, intervals, masks, matching, metrics, points, raster, stencil, transfer
+from .operators import audit, fusion, inpainting, intervals, masks, matching, metrics, points, raster, stencil, transfer
 from .operators.grid import Grid
 from .plans import experiments
 
@@ -818,6 +818,11 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy((F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_suppkey") % 64).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(S.f32(F.col("l_quantity"))).cast("double").alias("surface_z"), F.sum("l_quantity").alias("total"))
 
 
+@q("void_distance", _sql("SELECT a.r, a.c, CAST(min((a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c)) AS BIGINT) AS d2 FROM grd a, (SELECT r, c FROM grd WHERE n > 2) b GROUP BY a.r, a.c"))
+def _(s, d):
+    return inpainting.distances(grd(s, d).select("r", "c", F.when(F.col("n") > 2, F.col("n")).alias("n")), GRID, "n")
+
+
 # --- without SQL
 
 
@@ -831,7 +836,7 @@ def _(s, d):
 
 @q("inpaint", None)
 def _(s, d):
-    return stencil.inpaint(grd(s, d).select("r", "c", "red"), GRID, "red")
+    return inpainting.inpaint(grd(s, d).select("r", "c", "red"), GRID, "red")
 
 
 @q("field_digest", None)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.operators import cloth, raster, stencil
+from cellgrove.operators import cloth, inpainting, raster, stencil
 from cellgrove.operators.grid import Grid
 
 
@@ -99,7 +99,7 @@ def test_ranges_count_borders_as_empty(spark):
 def test_inpaint(spark):
     a = np.full((4, 4), np.nan)
     a[0, 0] = 3.0
-    assert (array(stencil.inpaint(frame(spark, a), grid(a), "z"), a.shape, "z") == 3.0).all()
+    assert (array(inpainting.inpaint(frame(spark, a), grid(a), "z"), a.shape, "z") == 3.0).all()
 
 
 @pytest.mark.parametrize("order", [1, -1])

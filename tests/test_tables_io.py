@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove import __main__ as cli
-from cellgrove.operators import masks, matching, metrics, points, stencil
+from cellgrove.operators import inpainting, masks, matching, metrics, points, stencil
 from cellgrove.operators.grid import Grid
 from cellgrove.plans import guard
 from cellgrove.sources import las, npy, sinks, tiles
@@ -139,8 +139,8 @@ def test_raster_sampling_by_hand(spark, small, monkeypatch):
 def test_inpainting_has_no_ring_limit(spark):
     g = Grid(0, 0, 40, 1, 1.0, 1, 40)
     d = g.cells(spark).withColumn("v", F.when(F.col("c") == 0, 7.0))
-    assert {r.v for r in stencil.inpaint(d, g, "v").collect()} == {7.0}
-    assert stencil.inpaint(d.withColumn("v", F.lit(None).cast("double")), g, "v").count() == 40
+    assert {r.v for r in inpainting.inpaint(d, g, "v").collect()} == {7.0}
+    assert inpainting.inpaint(d.withColumn("v", F.lit(None).cast("double")), g, "v").count() == 40
 
 
 def test_masks_that_fit(spark):
