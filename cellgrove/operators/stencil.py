@@ -1,8 +1,8 @@
 """Neighbourhood operators on dense grids in long form.
 
-Sums over edge-replicated windows are separable: one window pass along rows, one along columns, each a sort by row or
-column; what a clamped offset would repeat is added as a multiple of the edge value. Costs don't grow with the square
-of the window. Order statistics of small windows scatter each cell to the cells that it serves.
+Sums over edge-replicated windows are summed areas: running sums along rows, then along columns, each one sort; what a
+clamped offset would repeat is added as a multiple of the edge value. Costs don't grow with the window. Order
+statistics of small windows scatter each cell to the cells that it serves.
 """
 
 from __future__ import annotations
@@ -15,24 +15,43 @@ from ..functions.scalar import f32
 from .grid import Grid
 
 
-def box_sums(cells: DataFrame, grid: Grid, size: int, values: dict[str, Column]) -> DataFrame:
-    """Adds, for each name, the sum of its values over the size x size window with edge-replicated padding."""
-    low, high = size // 2, size - size // 2 - 1
+def window_sums(cells: DataFrame, grid: Grid, values: dict[str, tuple[Column, tuple[int, ...]]]) -> DataFrame:
+    """Adds, for each name and each of its sizes, name_size: the sum over the size x size window with edge-replicated padding.
 
-    def along(d: DataFrame, across: str, by: str, n: int) -> DataFrame:
-        w = Window.partitionBy(across).orderBy(by)
-        frame, whole = w.rowsBetween(-low, high), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        short = F.greatest(F.lit(low) - F.col(by), F.lit(0))
-        over = F.greatest(F.col(by) + F.lit(high) - F.lit(n - 1), F.lit(0))
-        first = d.withColumns({f"{v}_s": F.sum(v).over(frame) for v in values} | {f"{v}_a": F.first(v).over(whole) for v in values} | {f"{v}_z": F.last(v).over(whole) for v in values})
-        return first.withColumns({v: F.col(f"{v}_s") + short * F.col(f"{v}_a") + over * F.col(f"{v}_z") for v in values}).drop(*[f"{v}_{x}" for v in values for x in "saz"])
+    Summed areas, one axis after the other: running sums along the rows, of which a window's sum is the difference of
+    two, and again along the columns. Work per cell doesn't depend on the sizes, and all values and sizes share the two
+    sorts. Nulls count 0.
+    """
+    kept = cells.columns
 
-    return along(along(cells.withColumns(values), "r", "c", grid.cols), "c", "r", grid.rows)
+    def along(d: DataFrame, across: str, by: str, n: int, sums: dict[str, dict[str, int]]) -> DataFrame:
+        """sums: for each column its window sums (name: size)."""
+        w = Window.partitionBy(across).orderBy(by)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumns({f"{v}_p": F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in sums})
+        ends = {f"{v}_{k}": f(c).over(whole) for v in sums for k, f, c in (("a", F.first, v), ("y", F.last, v), ("z", F.last, f"{v}_p"))}
+        moved = {}
+        for v, own in sums.items():
+            for size in own.values():
+                moved[f"{v}_u{size}"] = F.lead(f"{v}_p", size - size // 2 - 1).over(w)
+                moved[f"{v}_d{size}"] = F.lag(f"{v}_p", size // 2 + 1).over(w)
+        d, out = d.withColumns(ends | moved), []
+        for v, own in sums.items():
+            for name, size in own.items():
+                short = F.greatest(F.lit(size // 2) - F.col(by), F.lit(0))
+                over = F.greatest(F.col(by) + F.lit(size - size // 2 - n), F.lit(0))
+                inner = F.coalesce(f"{v}_u{size}", f"{v}_z") - F.coalesce(F.col(f"{v}_d{size}"), F.lit(0))
+                out.append((inner + short * F.col(f"{v}_a") + over * F.col(f"{v}_y")).alias(name))
+        return d.select(*kept, *out)
+
+    d = cells.withColumns({f"_{v}": F.coalesce(c, F.lit(0)) for v, (c, _) in values.items()})
+    d = along(d, "r", "c", grid.cols, {f"_{v}": {f"{v}_{s}": s for s in sizes} for v, (_, sizes) in values.items()})
+    return along(d, "c", "r", grid.rows, {f"{v}_{s}": {f"{v}_{s}": s} for v, (_, sizes) in values.items() for s in sizes})
 
 
 def box_mean(cells: DataFrame, grid: Grid, size: int, value: str, out: str = "mean") -> DataFrame:
-    d = box_sums(cells, grid, size, {out: F.col(value).cast("double")})
-    return d.withColumn(out, F.col(out) / (size * size))
+    d = window_sums(cells, grid, {"_m": (F.col(value).cast("double"), (size,))})
+    return d.withColumn(out, F.col(f"_m_{size}") / (size * size)).drop(f"_m_{size}")
 
 
 def fill_gaps(cells: DataFrame, grid: Grid, value: str = "z", windows: tuple[int, ...] = GAPFILL) -> DataFrame:
@@ -40,12 +59,11 @@ def fill_gaps(cells: DataFrame, grid: Grid, value: str = "z", windows: tuple[int
 
     A mean is never below the least cell, so the least value is that of the original cells, and the windows run once.
     """
-    d, filled = cells.withColumn("_f", F.col(value).cast("double")), F.col("_f")
-    for size in windows:
-        sums = {"_n": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_d": F.col(value).isNotNull().cast("double")}
-        d = box_sums(d, grid, size, sums).withColumn("_f", F.coalesce("_f", F.when(F.col("_d") > 0.5, F.try_divide(F.col("_n"), F.col("_d"))))).drop("_n", "_d")
-    least = cells.agg(F.min(F.col(value).cast("double")).alias("_least"))
-    return d.crossJoin(F.broadcast(least)).withColumn(value, F.coalesce(filled, "_least")).drop("_f", "_least")  # one row
+    v = F.col(value).cast("double")
+    d = window_sums(cells, grid, {"_n": (v, windows), "_d": (v.isNotNull().cast("long"), windows)})
+    filled = [F.when(F.col(f"_d_{s}") > 0, F.try_divide(F.col(f"_n_{s}"), F.col(f"_d_{s}"))) for s in windows]
+    least = cells.agg(F.min(v).alias("_least"))
+    return d.crossJoin(F.broadcast(least)).withColumn(value, F.coalesce(v, *filled, "_least")).select(*cells.columns)  # one row
 
 
 def _scatter(cells: DataFrame, grid: Grid, reach: int, *values: str) -> DataFrame:
@@ -71,14 +89,33 @@ def low_outliers(lowest: DataFrame, grid: Grid, below: float = GROUND_OUTLIER) -
     return d.select("r", "c", "z", "median", F.coalesce(F.col("z") < F.col("median") - below, F.lit(False)).alias("outlier"))
 
 
+_IDS = [-1, *(i for i, *_ in CLASSES)]
+_VOTES = 1 << 30  # two counts go into one number: no window, nor a line's running sum of windows, has as many cells
+
+
+def modes(cells: DataFrame, grid: Grid, labels: dict[str, tuple[Column, tuple[int, ...]]]) -> tuple[DataFrame, dict[tuple[str, int], Column]]:
+    """Cells with the vote counts of several labels (name: the label and the odd windows wanted of it), all from one set
+    of running sums, and for (name, window) the most frequent label. -1 votes; of equals the smallest id wins."""
+    if any(s < 1 or s % 2 == 0 for _, sizes in labels.values() for s in sizes):
+        raise ValueError("a window must be odd and positive")
+    vote = lambda label, k: (label == _IDS[k]).cast("long") if k < len(_IDS) else F.lit(0).cast("long")
+    pairs, values = range(0, len(_IDS), 2), {}
+    for n, (label, sizes) in labels.items():
+        if wide := tuple(s for s in sizes if s > 1):
+            values |= {f"_{n}{k}": (vote(label, k) + vote(label, k + 1) * _VOTES, wide) for k in pairs}
+    out = {}
+    for n, (label, sizes) in labels.items():
+        for s in sizes:
+            counts = [x for k in pairs for v in [F.col(f"_{n}{k}_{s}")] for x in (F.pmod(v, F.lit(_VOTES)), F.shiftright(v, 30))]
+            best = F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(-i).alias("i")) for v, i in zip(counts, _IDS)]))["i"]
+            out[n, s] = (-best).cast("int") if s > 1 else label
+    return window_sums(cells, grid, values) if values else cells, out
+
+
 def majority(cells: DataFrame, grid: Grid, size: int = MAJORITY, label: str = "label") -> DataFrame:
     """The most frequent label of the edge-replicated window; -1 votes; of equals the smallest id."""
-    if size < 1 or size % 2 == 0:
-        raise ValueError("the window must be odd and positive")
-    ids = [-1, *(i for i, *_ in CLASSES)]
-    d = box_sums(cells, grid, size, {f"_v{k}": (F.col(label) == i).cast("long") for k, i in enumerate(ids)})
-    votes = F.array(*[F.struct(F.col(f"_v{k}").alias("n"), F.lit(-i).alias("i")) for k, i in enumerate(ids)])
-    return d.withColumn(label, (-F.array_max(votes)["i"]).cast("int")).drop(*[f"_v{k}" for k in range(len(ids))])
+    d, found = modes(cells, grid, {"v": (F.col(label), (size,))})
+    return d.withColumn(label, found["v", size]).select(*cells.columns)
 
 
 def ranges(cells: DataFrame, grid: Grid, height: str = "z", colour: str = "exg") -> DataFrame:

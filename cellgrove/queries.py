@@ -288,24 +288,20 @@ def _(s, d):
     return doubles(pth(s, d).select("orig_index", "hag"))
 
 
-# no point falls on these rectangles: gaps that are there in the survey, such as water
-HOLES = [(20.0, 30.0, 44.0, 62.0), (80.0, 80.0, 120.0, 100.0), (4.0, 100.0, 12.0, 128.0), (60.0, 10.0, 64.0, 14.0)]
-_DRY = " AND ".join(f"NOT (x >= {a} AND x < {c} AND y >= {b} AND y < {e})" for a, b, c, e in HOLES)
-_LOW = f"low AS (SELECT CAST(least(greatest(trunc((128-y)/4),0),31) AS INT) AS r, CAST(least(greatest(trunc(x/4),0),31) AS INT) AS c, min(z) AS z FROM pts WHERE {_DRY} GROUP BY 1, 2),\ncells32 AS (SELECT r, c FROM cells WHERE r < 32 AND c < 32),\n"
+_LOW = "low AS (SELECT CAST(least(greatest(trunc((128-y)/4),0),31) AS INT) AS r, CAST(least(greatest(trunc(x/4),0),31) AS INT) AS c, min(z) AS z FROM pts WHERE classification IN (3, 11) GROUP BY 1, 2),\ncells32 AS (SELECT r, c FROM cells WHERE r < 32 AND c < 32),\n"
+_LOWEST = "lowest AS (SELECT r, c, min(z) AS z FROM ptf GROUP BY r, c),\n"
 
 
 def low(s, d):
-    p = pts(s, d)
-    for hole in HOLES:
-        p = p.where(~points.inside(hole, False))
-    return raster.lowest(p, COARSE)
+    """The lowest ground point (by class) of each coarse cell; where there is none, the terrain has a gap."""
+    return raster.lowest(pts(s, d).where(F.col("classification").isin(3, 11)), COARSE)
 
 
-@q("low_outliers", _sql("""SELECT l.r, l.c, l.z, median, coalesce(l.z < median - 5 AND NOT isinf(median), false) AS outlier FROM low l JOIN (
-  SELECT t.r, t.c, median(coalesce(s.z, CAST('Infinity' AS DOUBLE))) AS median FROM low t, range(-2,3) a(i), range(-2,3) b(j), cells32 k LEFT JOIN low s ON s.r = k.r AND s.c = k.c
-  WHERE k.r = t.r+a.i AND k.c = t.c+b.j GROUP BY t.r, t.c) m USING (r, c)""", _LOW))
+@q("low_outliers", _sql("""SELECT l.r, l.c, l.z, median, coalesce(l.z < median - 5 AND NOT isinf(median), false) AS outlier FROM lowest l JOIN (
+  SELECT t.r, t.c, median(coalesce(s.z, CAST('Infinity' AS DOUBLE))) AS median FROM lowest t, range(-2,3) a(i), range(-2,3) b(j), cells k LEFT JOIN lowest s ON s.r = k.r AND s.c = k.c
+  WHERE k.r = t.r+a.i AND k.c = t.c+b.j GROUP BY t.r, t.c) m USING (r, c)""", _LOWEST))
 def _(s, d):
-    m = stencil.low_outliers(low(s, d), COARSE)
+    m = stencil.low_outliers(raster.lowest(pts(s, d), GRID), GRID)
     return m.withColumn("median", F.coalesce("median", F.lit(float("inf"))))
 
 
@@ -322,9 +318,9 @@ def _(s, d):
     return stencil.box_mean(COARSE.dense(low(s, d)).withColumn("z", F.coalesce("z", F.lit(0.0))), COARSE, 5, "z").select("r", "c", "mean")
 
 
-@q("gapfill", _sql(f"""SELECT r, c, coalesce(f, (SELECT min(f) FROM filled)) AS z FROM filled""", _LOW, _FULL, f"filled AS (SELECT f.r, f.c, coalesce(f.z, CASE WHEN n5.v > 0 THEN d5.v/n5.v END, CASE WHEN n17.v > 0 THEN d17.v/n17.v END) AS f FROM full32 f JOIN {_box('full32', 'v', 5)} d5 USING (r, c) JOIN {_box('full32', 'm', 5)} n5 USING (r, c) JOIN {_box('full32', 'v', 17)} d17 USING (r, c) JOIN {_box('full32', 'm', 17)} n17 USING (r, c)),\n"))
+@q("gapfill", _sql(f"""SELECT r, c, coalesce(f, (SELECT min(f) FROM filled)) AS z FROM filled""", _LOW, _FULL, f"filled AS (SELECT f.r, f.c, coalesce(f.z, CASE WHEN n5.v > 0 THEN d5.v/n5.v END, CASE WHEN n17.v > 0 THEN d17.v/n17.v END, CASE WHEN n65.v > 0 THEN d65.v/n65.v END) AS f FROM full32 f JOIN {_box('full32', 'v', 5)} d5 USING (r, c) JOIN {_box('full32', 'm', 5)} n5 USING (r, c) JOIN {_box('full32', 'v', 17)} d17 USING (r, c) JOIN {_box('full32', 'm', 17)} n17 USING (r, c) JOIN {_box('full32', 'v', 65)} d65 USING (r, c) JOIN {_box('full32', 'm', 65)} n65 USING (r, c)),\n"))
 def _(s, d):
-    return stencil.fill_gaps(COARSE.dense(low(s, d)), COARSE, windows=(5, 17)).select("r", "c", "z")
+    return stencil.fill_gaps(COARSE.dense(low(s, d)), COARSE).select("r", "c", "z")
 
 
 @q("bilinear", _sql("""SELECT t.r, t.c, CAST(CAST(sum(wr.w*wc.w*s.v) AS FLOAT) AS DOUBLE) AS dtm FROM cells t, LATERAL (SELECT (t.r+0.5::DOUBLE)/2-0.5 AS y, (t.c+0.5::DOUBLE)/2-0.5 AS x) p,
