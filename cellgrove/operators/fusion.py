@@ -34,11 +34,11 @@ def tall(v: Veto) -> Column:
     return yes(F.col("hag") > f32(v.tree_hag)) & ~F.col("void")
 
 
-def claims(options: Fusion) -> dict[str, tuple[Column, Column]]:
-    """For each class whether a cell claims it by confidence, and whether it keeps it."""
+def claims(options: Fusion, confidence: dict[str, Column] | None = None) -> dict[str, tuple[Column, Column]]:
+    """For each class whether a cell claims it by confidence (by default the column of its name), and whether it keeps it."""
     out = {}
     for _, name, *_ in CLASSES:
-        claim = F.col(name) >= f32(THRESHOLDS[name])
+        claim = (F.col(name) if confidence is None else confidence[name]) >= f32(THRESHOLDS[name])
         keep = claim & (veto(name, options.veto) if options.constraints else ~F.col("void"))
         if name == "tree" and options.tree_height_check:
             keep = keep & tall(options.veto)
@@ -52,6 +52,23 @@ def paint(kept: dict[str, Column], priority: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(kept[n], F.lit(IDS[n])) for n in priority], F.lit(-1))
 
 
+def painted(options: Fusion, confidence: dict[str, Column] | None = None) -> Column:
+    """The label before smoothing: the first class by priority that a cell keeps, else -1."""
+    return paint({n: k for n, (_, k) in claims(options, confidence).items()}, options.priority)
+
+
+def revised(label: Column, before: Column, options: Fusion) -> Column:
+    """A smoothed label, or the one before it where a variant takes back what physics forbids."""
+    if options.physical_smoothing:
+        fits = F.lit(False)
+        for n, i in IDS.items():
+            fits = fits | ((label == i) & veto(n, options.veto))
+        label = F.when(fits, label).otherwise(before)
+    if options.tree_height_check:
+        label = F.when((label == IDS["tree"]) & ~tall(options.veto), before).otherwise(label)
+    return label
+
+
 def fuse(cells: DataFrame, grid: Grid, options: Fusion | None = None) -> DataFrame:
     """r, c, label, score from cells with exg, hag, void and one FLOAT column of confidence for each class.
 
@@ -59,16 +76,10 @@ def fuse(cells: DataFrame, grid: Grid, options: Fusion | None = None) -> DataFra
     the winner's confidence, 0 where unlabelled.
     """
     o = options or Fusion()
-    d = cells.withColumn("label", paint({n: k for n, (_, k) in claims(o).items()}, o.priority)).withColumn("_pre", F.col("label"))
+    d = cells.withColumn("label", painted(o)).withColumn("_pre", F.col("label"))
     if o.smoothing:
         d = majority(d, grid, o.window)
-        if o.physical_smoothing:
-            fits = F.lit(False)
-            for n, i in IDS.items():
-                fits = fits | ((F.col("label") == i) & veto(n, o.veto))
-            d = d.withColumn("label", F.when(fits, F.col("label")).otherwise(F.col("_pre")))
-        if o.tree_height_check:
-            d = d.withColumn("label", F.when((F.col("label") == IDS["tree"]) & ~tall(o.veto), F.col("_pre")).otherwise(F.col("label")))
+        d = d.withColumn("label", revised(F.col("label"), F.col("_pre"), o))
     score = f32(0.0)
     for n, i in IDS.items():
         score = F.when(F.col("label") == i, F.col(n)).otherwise(score)

@@ -17,6 +17,22 @@ def _fallback(t: Transfer) -> Column:
     return F.when(yes(F.col("hag") > f32(t.below_tree)), IDS["tree"]).when(yes(F.col("exg") > f32(t.below_grass)), IDS["grass"]).otherwise(IDS["pavement"])
 
 
+def _on(mode: str, band: float | None, t: Transfer) -> Column:
+    """Whether a point (z) takes the label of its cell (surface_z)."""
+    if mode not in ("naive", "height_aware"):
+        raise ValueError("the mode must be naive or height_aware")
+    width = t.surface if band is None else band
+    if not (width > 0 and width < float("inf")):
+        raise ValueError("the band must be finite and positive")
+    return F.lit(True) if mode == "naive" else yes(F.abs(f32(f32(F.col("z")) - F.col("surface_z"))) < f32(width))
+
+
+def transferred(label: Column, mode: str = "height_aware", band: float | None = None, options: Transfer | None = None) -> Column:
+    """The class of a point (z, hag, exg) from its cell's label and surface_z, by the rules of `transfer`."""
+    t = options or Transfer()
+    return F.when(_on(mode, band, t), F.coalesce(label, F.lit(-1))).otherwise(_fallback(t)).cast("int")
+
+
 def transfer(points: DataFrame, mode: str = "height_aware", band: float | None = None, options: Transfer | None = None) -> DataFrame:
     """Adds internal_class_id, model_score, prediction_source and route.
 
@@ -25,19 +41,12 @@ def transfer(points: DataFrame, mode: str = "height_aware", band: float | None =
     colour. The score is NULL unless the point carries a transferred label.
     """
     t = options or Transfer()
-    if mode not in ("naive", "height_aware"):
-        raise ValueError("the mode must be naive or height_aware")
-    width = t.surface if band is None else band
-    if not (width > 0 and width < float("inf")):
-        raise ValueError("the band must be finite and positive")
-    delta = f32(f32(F.col("z")) - F.col("surface_z"))
-    on = F.lit(True) if mode == "naive" else yes(F.abs(delta) < f32(width))
-    label = F.coalesce(F.col("label"), F.lit(-1))
-    supported = on & (label >= 0)
+    on, delta = _on(mode, band, t), f32(f32(F.col("z")) - F.col("surface_z"))
+    supported = on & (F.coalesce(F.col("label"), F.lit(-1)) >= 0)
     source = F.when(supported, 1).when(on, 0).when(F.col("surface_z").isNull(), 3).when(delta > f32(0.0), 4).otherwise(2)
     return points.withColumns(
         {
-            "internal_class_id": F.when(on, label).otherwise(_fallback(t)).cast("int"),
+            "internal_class_id": transferred(F.col("label"), mode, band, t),
             "model_score": F.when(supported, F.col("score")),
             "prediction_source": source.cast("int"),
             "route": F.when(on, "transfer").otherwise("fallback"),

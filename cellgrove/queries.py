@@ -809,6 +809,34 @@ def _(s, d):
     return t.select("method", "group", "subset", "reference", "support", "true_positive", "recall_percent", "iou_percent")
 
 
+#: Confidences of the detector, and of its variants with other limits on boxes, as formulas of the cell.
+SHIFTS = {"neural": 0, "neural_0.5": 5, "neural_1": 9}
+
+
+def _matrix_sql() -> str:
+    """Every configuration on its own, from the definitions."""
+    conf_of = lambda k: ", ".join(f"CAST(CAST((r*31+c*17+{i}*13+{k})%17 AS FLOAT)/16 AS FLOAT) AS {n}" for n, i in IDS.items())
+    sources = {"rules": "SELECT *, " + ", ".join(f"CAST(({_RULE}) = {i} AS FLOAT) AS {n}" for n, i in IDS.items()) + " FROM grd"} | {n: f"SELECT *, {conf_of(k)} FROM grd" for n, k in SHIFTS.items()}
+    parts = []
+    for c in experiments.configurations():
+        if c.pointwise:
+            label = _RULE if c.pointwise == "rules" else f"CASE WHEN coalesce(hag > {_f(6)}, false) THEN 4 WHEN coalesce(hag < {_f(2)}, false) THEN 3 ELSE -1 END"
+            body = f"SELECT classification AS ref, {_las(f'({label})')} AS pred FROM pth"
+        else:
+            source = c.source if c.box_fraction is None else f"{c.source}_{c.box_fraction:g}"
+            f = c.fusion
+            body = f"WITH conf AS ({sources[source]}), {_fused(f.constraints, f.smoothing, f.window, f.tree_height_check, f.physical_smoothing)}{_transfer(c.band or 3.0, c.mode == 'naive')}z AS (SELECT 1) SELECT classification AS ref, {_las('internal_class_id')} AS pred FROM sent"
+        parts.append(f"SELECT '{c.name}' AS method, ref AS reference, CASE WHEN pred IN (3,5,6,11,64) THEN CAST(pred AS VARCHAR) WHEN pred = 1 THEN 'unlabelled' ELSE 'invalid' END AS prediction, count(*) AS count FROM ({body}) WHERE ref IN (3,5,6,11,64) GROUP BY 1, 2, 3")
+    return _sql(" UNION ALL ".join(parts))
+
+
+@q("component_matrix", _matrix_sql())
+def _(s, d):
+    confidence = lambda k: {n: S.f32(((F.col("r") * 31 + F.col("c") * 17 + i * 13 + k) % 17).cast("float") / 16) for n, i in IDS.items()}
+    sources = {"rules": fusion.proposals(fusion.baseline())} | {n: confidence(k) for n, k in SHIFTS.items()}
+    return experiments.matrix(pth(s, d).withColumn("ref", F.col("classification")), GRID, (grd(s, d), sources))
+
+
 @q("big_cell_stats", "SELECT CAST(l_partkey % 256 AS INT) AS r, CAST(l_suppkey % 64 AS INT) AS c, count(*) AS n, max(CAST(l_quantity AS FLOAT))::DOUBLE AS surface_z, CAST(sum(l_quantity) AS DOUBLE) AS total FROM lineitem GROUP BY 1, 2")
 def _(s, d):
     return table(s, d, "lineitem").groupBy((F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_suppkey") % 64).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(S.f32(F.col("l_quantity"))).cast("double").alias("surface_z"), F.sum("l_quantity").alias("total"))
