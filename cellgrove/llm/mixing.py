@@ -80,18 +80,20 @@ def mix(docs: DataFrame, size: Column | None = None, block_tokens: int = BLOCK_T
     Null text counts 0 words; a null source is a source of its own, last; repeated rows are rows of their own; an
     empty table gives an empty result. Further columns are ignored.
     """
-    sized = settle(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size")))
+    # rows without doc_id are told apart by their text, else they would all be one shard
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")) if "text" in docs.columns else F.lit(None).cast("long")
+    sized = settle(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), tie.alias("_tie")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     total = Window.partitionBy(F.lit(0))
     aimed = targets(sources).withColumn("_seats", F.round(F.sum("target").over(total) / block_tokens).cast("long"))
     aimed = sainte_lague(aimed, [], ["source"], "target", "_seats", "_blocks").drop("_seats")
     aimed = settle(aimed.withColumn("_shards", F.greatest(F.least(F.ceil(F.col("source_size") / shard_tokens), F.lit(MOST_SHARDS)), F.lit(1))))
     src = aimed.select(F.col("source").alias("_source"), "source_size", "target", "_blocks", "_shards")
-    placed = sized.join(src, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).cast("int"))
+    placed = sized.join(src, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64("doc_id", "_tie", F.lit(seed)), F.col("_shards")).cast("int"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("_z"), F.first("_blocks").alias("_blocks"))
     quotas = sainte_lague(shards, ["source"], ["shard"], "_z", "_blocks", "_quota")
     quotas = quotas.select(F.col("source").alias("_qs"), F.col("shard").alias("_qh"), "_z", F.least(F.col("_quota") * block_tokens, 3 * F.col("_z")).alias("_need"))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "_tie", F.lit(seed + 1)), "doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = placed.join(quotas, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qh")))
     times = F.when(F.col("_z") > 0, F.floor(F.col("_need") / F.col("_z"))).otherwise(F.lit(0))
     d = d.withColumn("_times", times).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
-#: For each tool the JSON schema of its arguments: type, properties, required, additionalProperties, items, enum.
+#: Keywords of JSON schemas that are checked, and those that only describe. Any other is refused.
+KEYWORDS = set("type enum const minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf items minItems maxItems uniqueItems properties required additionalProperties minProperties maxProperties allOf anyOf oneOf not".split())
+ANNOTATIONS = set("title description default examples format deprecated readOnly writeOnly $schema $id $comment".split())
+#: For each tool the JSON schema of its arguments.
 SCHEMAS = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}}, "required": ["prompt"], "additionalProperties": False}}
 #: What the types of JSON schemas are called for a variant.
 TYPES = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "integer": "BIGINT|DECIMAL\\(\\d+,0\\)", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
@@ -69,29 +74,89 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(done, ["conv_id", "call_id"], "left")
 
 
-def conforms(v: Column, schema: dict) -> Column:
-    """Whether a variant follows a schema; without a type anything does. Null (no value at all) conforms to nothing."""
+def require_schema(schema: dict | bool) -> None:
+    """Checks that a schema has only keywords and types that `conforms` knows; a keyword is never passed over."""
+    if isinstance(schema, bool):
+        return
+    if unknown := set(schema) - KEYWORDS - ANNOTATIONS:
+        raise ValueError(f"schema keywords that aren't known: {sorted(unknown)}")
+    if unknown := set(_types(schema)) - set(TYPES):
+        raise ValueError(f"schema types that aren't known: {sorted(unknown)}")
+    inner = [*schema.get("properties", {}).values(), *[x for k in ("anyOf", "oneOf", "allOf") for x in schema.get(k, [])], *[schema[k] for k in ("items", "additionalProperties", "not") if k in schema]]
+    for x in inner:
+        require_schema(x)
+
+
+def _types(schema: dict) -> list[str]:
+    t = schema.get("type", [])
+    return [t] if isinstance(t, str) else list(t)
+
+
+def conforms(v: Column, schema: dict | bool) -> Column:
+    """Whether a variant follows a schema; null (no value at all) follows none.
+
+    A keyword only binds values of the type that it is for. Numbers without a fraction are integers however they are
+    written; enum and const compare canonical JSON.
+    """
+    if isinstance(schema, bool):
+        return v.isNotNull() & F.lit(schema)
+    shape, text = F.schema_of_variant(v), F.to_json(v)
+    number = F.try_variant_get(v, "$", "double")
+    kind = {t: F.coalesce(shape.rlike(f"(?s)^({pattern})$"), F.lit(False)) for t, pattern in TYPES.items()}
+    kind["integer"] = kind["number"] & F.coalesce(number == F.floor(number), F.lit(False)) | kind["integer"]
     ok = v.isNotNull()
+
+    def must(t: str, condition: Column) -> None:
+        nonlocal ok
+        ok = ok & (~kind[t] | F.coalesce(condition, F.lit(False)))
+
     if "type" in schema:
-        ok = ok & F.schema_of_variant(v).rlike(f"(?s)^({TYPES[schema['type']]})$")
-    if "enum" in schema:
-        ok = ok & F.to_json(v).isin(*[json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]])
-    if schema.get("type") == "array" and "items" in schema:
-        ok = ok & F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda e: conforms(e, schema["items"]))
-    if schema.get("type") == "object":
-        keys, props = F.json_object_keys(F.to_json(v)), schema.get("properties", {})
-        if schema.get("additionalProperties") is False:
-            ok = ok & (F.size(F.array_except(keys, F.array(*map(F.lit, props)).cast("array<string>"))) == 0)
+        ok = ok & reduce(or_, [kind[t] for t in _types(schema)], F.lit(False))
+    canonical = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    for allowed in ([schema["enum"]] if "enum" in schema else []) + ([[schema["const"]]] if "const" in schema else []):
+        ok = ok & text.isin(*map(canonical, allowed))
+    string, items = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "array<variant>")
+    compared = {
+        "minLength": ("string", lambda x: F.char_length(string) >= x), "maxLength": ("string", lambda x: F.char_length(string) <= x), "pattern": ("string", lambda x: string.rlike(x)),
+        "minimum": ("number", lambda x: number >= x), "maximum": ("number", lambda x: number <= x), "exclusiveMinimum": ("number", lambda x: number > x), "exclusiveMaximum": ("number", lambda x: number < x),
+        "multipleOf": ("number", lambda x: F.abs(number / x - F.round(number / x)) < 1e-9),
+        "minItems": ("array", lambda x: F.size(items) >= x), "maxItems": ("array", lambda x: F.size(items) <= x), "items": ("array", lambda x: F.forall(items, lambda e: conforms(e, x))),
+        "uniqueItems": ("array", lambda x: F.size(F.array_distinct(F.transform(items, lambda e: F.to_json(e)))) == F.size(items) if x else F.lit(True)),
+    }
+    for k, (t, condition) in compared.items():
+        if k in schema:
+            must(t, condition(schema[k]))
+    if set(schema) & {"properties", "required", "additionalProperties", "minProperties", "maxProperties"}:
+        keys, props, whole = F.json_object_keys(text), schema.get("properties", {}), F.try_variant_get(v, "$", "map<string,variant>")
+        inside = lambda p: F.array_contains(keys, p)
         for p in schema.get("required", []):
-            ok = ok & F.array_contains(keys, p)
+            must("object", inside(p))
         for p, inner in props.items():
-            ok = ok & (~F.array_contains(keys, p) | conforms(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(p)), inner))
+            must("object", ~inside(p) | conforms(F.try_element_at(whole, F.lit(p)), inner))
+        if (more := schema.get("additionalProperties", True)) is not True:
+            others = F.array_except(keys, F.array(*map(F.lit, props)).cast("array<string>"))
+            must("object", F.size(others) == 0 if more is False else F.forall(others, lambda p: conforms(F.try_element_at(whole, p), more)))
+        if "minProperties" in schema:
+            must("object", F.size(keys) >= schema["minProperties"])
+        if "maxProperties" in schema:
+            must("object", F.size(keys) <= schema["maxProperties"])
+    holds = lambda k: [conforms(v, x) for x in schema[k]]
+    if "allOf" in schema:
+        ok = ok & reduce(and_, holds("allOf"), F.lit(True))
+    if "anyOf" in schema:
+        ok = ok & reduce(or_, holds("anyOf"), F.lit(False))
+    if "oneOf" in schema:
+        ok = ok & (sum((c.cast("int") for c in holds("oneOf")), F.lit(0)) == 1)
+    if "not" in schema:
+        ok = ok & ~conforms(v, schema["not"])
     return F.coalesce(ok, F.lit(False))
 
 
 def valid(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
     """Whether the tool is known and its arguments are JSON that conforms to its schema."""
     v, out = F.try_parse_json(arguments), F.lit(False)
+    for schema in schemas.values():
+        require_schema(schema)
     for tool, schema in schemas.items():
         out = F.when(name == tool, conforms(v, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
