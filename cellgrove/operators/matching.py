@@ -109,28 +109,91 @@ def unknown_ids(points: DataFrame, tile: DataFrame, key: str = "orig_index") ->
     return points.join(tile, key, "left_anti")
 
 
+#: Comparisons that one pair of cells may take; pairs of more points are split, down to cells of radius / 2 ** DEEPEST.
+COMPARED, DEEPEST = 1 << 16, 12
+_AT = ["ix", "iy", "iz"]
+
+
+def _cells(place: DataFrame, radius: float, level: int) -> DataFrame:
+    """place with the cell (ix, iy, iz) that each point lies in, of side radius / 2 ** level and a trifle more, so that
+    rounding can't part neighbours."""
+    return place.withColumns({f"i{c}": F.floor(F.col(c) / F.lit(radius * (1 + 1e-9)) * (1 << level)) for c in "xyz"})
+
+
+def _boxes(placed: DataFrame, prefix: str) -> DataFrame:
+    """Cells of one class each: their points' number and bounds."""
+    ends = [f(c).alias(f"{prefix}{c}{k}") for c in "xyz" for f, k in ((F.min, 0), (F.max, 1))]
+    named = [F.col(c).alias(f"{prefix}{c}") for c in (*_AT, "classification")]
+    return placed.groupBy(*named).agg(F.count(F.lit(1)).alias(f"{prefix}n"), *ends)
+
+
+def other_class_pairs(place: DataFrame, radius: float) -> tuple[list[DataFrame], list[tuple[int, DataFrame]]]:
+    """Decides places (distinct x, y, z, classification) by cells: those near another class, and what is left to compare.
+
+    Cells are split like an octree, where they must be. Of two cells of different classes none of the points are near if
+    their bounds are farther apart than the radius, and all are if no two places of the bounds are. Only pairs between
+    go on: to a comparison of their points where these make COMPARED pairs at most, else to their eighths. Returns
+    the decided places, by level, and (level, pairs of cells) to compare.
+    """
+    square = lambda parts: sum((p * p for p in parts), F.lit(0.0))
+    apart = [F.greatest(F.col(f"a{c}0") - F.col(f"b{c}1"), F.col(f"b{c}0") - F.col(f"a{c}1"), F.lit(0.0)) for c in "xyz"]
+    across = [F.greatest(F.col(f"a{c}1") - F.col(f"b{c}0"), F.col(f"b{c}1") - F.col(f"a{c}0")) for c in "xyz"]
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    placed = _cells(place, radius, 0)
+    a = _boxes(placed, "a")
+    for i in _AT:  # two points within the radius lie in neighbouring cells of that side
+        a = a.withColumn("_s", F.explode(steps)).withColumn(f"b{i}", F.col(f"a{i}") + F.col("_s")).drop("_s")
+    pairs = a.join(_boxes(placed, "b"), [f"b{i}" for i in _AT])
+    decided, compared = [], []
+    kept = bool(place.sparkSession.sparkContext.getCheckpointDir())
+    for level in range(DEEPEST + 1):
+        pairs = pairs.where((F.col("aclassification") != F.col("bclassification")) & (square(apart) <= radius * radius)).withColumn("_all", square(across) <= radius * radius)
+        pairs = pairs.checkpoint() if kept else pairs.persist()
+        key_a = [F.col(f"a{c}").alias(c) for c in (*_AT, "classification")]
+        sure = pairs.where("_all").select(*key_a).distinct()
+        decided.append(placed.join(sure, [*_AT, "classification"], "left_semi").select("x", "y", "z", "classification"))
+        few = (F.col("an") * F.col("bn") <= COMPARED) | F.lit(level == DEEPEST)
+        left = pairs.where("not _all").join(sure.select(*[F.col(c).alias(f"a{c}") for c in sure.columns]), [f"a{c}" for c in sure.columns], "left_anti")
+        names = [f"{p}{c}" for p in "ab" for c in (*_AT, "classification")]
+        compared.append((level, left.where(few).select(*names)))
+        dense = left.where(~few).select(*names)
+        dense = dense.checkpoint() if kept else dense.persist()
+        if dense.isEmpty():
+            break
+        # eighths of the cells in pairs that are still dense, and the pairs of those
+        both = dense.select(*key_a).unionByName(dense.select(*[F.col(f"b{c}").alias(c) for c in (*_AT, "classification")])).distinct()
+        inside = placed.join(both, [*_AT, "classification"], "left_semi")
+        up = {c: F.floor(F.col(c) / 2) for c in (f"{p}{i}" for p in "ab" for i in _AT)}
+        placed = _cells(inside.drop(*_AT), radius, level + 1)
+        parents = [dense.withColumnsRenamed({f"{p}{i}": f"{p}up{i}" for p in "ab" for i in _AT})]
+        for p in "ab":
+            child = _boxes(placed, p)
+            child = child.withColumns({f"{p}up{i}": up[f"{p}{i}"] for i in _AT})
+            parents.append(child)
+        pairs = parents[0].join(parents[1], [*[f"aup{i}" for i in _AT], "aclassification"]).join(parents[2], [*[f"bup{i}" for i in _AT], "bclassification"])
+    return decided, compared
+
+
 def near_other_class(points: DataFrame, radius: float = 1.0, bounds: tuple[float, float, float, float] | None = None, key: str = "orig_index") -> DataFrame:
     """Reviewed points with `boundary`: within radius (3D, inclusive) of one of another class, or of the perimeter.
 
-    Points meet in voxels as wide as the radius. Only voxels that see two classes matter, and within one voxel pair
-    each distinct (place, class) is compared once, so a crowd of equal points costs one.
+    Equal (place, class) pairs are one. What cells can decide is decided by cells (see other_class_pairs); the points of
+    the other cells meet pair of cells by pair of cells, so a crowded place is many bounded pieces of work.
     """
     own = points.where(F.col("classification").isin(*REFERENCE_CODES))
     place = own.select("x", "y", "z", "classification").distinct()
-    v = place.withColumns({f"v{c}": F.floor(F.col(c) / radius) for c in "xyz"})
-    mixed_base = v.groupBy("vx", "vy", "vz").agg(F.min("classification").alias("lo"), F.max("classification").alias("hi"))
-    steps = F.sequence(F.lit(-1), F.lit(1))
-
-    def spread(d: DataFrame) -> DataFrame:
-        for v in ("vx", "vy", "vz"):
-            d = d.withColumn("_s", F.explode(steps)).withColumn(v, F.col(v) + F.col("_s")).drop("_s")
-        return d
-
-    mixed = spread(mixed_base).groupBy("vx", "vy", "vz").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("vx", "vy", "vz")
-    b = v.select("vx", "vy", "vz", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "z", "classification")])
-    a = spread(v.join(mixed, ["vx", "vy", "vz"]))
-    square = sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0))
-    near = a.join(b, ["vx", "vy", "vz"]).where((F.col("classification") != F.col("bclassification")) & (square <= radius * radius)).select("x", "y", "z", "classification").distinct().withColumn("_n", F.lit(True))
+    decided, compared = other_class_pairs(place, radius)
+    near = None
+    for level, pairs in compared:
+        placed = _cells(place, radius, level)
+        side = lambda p: placed.select(*[F.col(c).alias(f"{p}{c}") for c in (*_AT, "classification", "x", "y", "z")])  # noqa: B023, E731
+        met = pairs.join(side("a"), [f"a{c}" for c in (*_AT, "classification")]).join(side("b"), [f"b{c}" for c in (*_AT, "classification")])
+        square = sum(((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0))
+        found = met.where(square <= radius * radius).select(*[F.col(f"a{c}").alias(c) for c in ("x", "y", "z", "classification")])
+        near = found if near is None else near.unionByName(found)
+    for d in decided:
+        near = near.unionByName(d)
+    near = near.distinct().withColumn("_n", F.lit(True))
     edge = F.lit(False) if bounds is None else perimeter_distance(F.col("x"), F.col("y"), bounds) <= radius
     return own.join(near, ["x", "y", "z", "classification"], "left").withColumn("boundary", F.coalesce("_n", F.lit(False)) | edge).drop("_n")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import CLASSES, IDS, LAS_CODES, THRESHOLDS, Fusion
 from .functions import scalar as S
 from .operators import audit, fusion, inpainting, intervals, masks, matching, metrics, points, raster, stencil, transfer
+from .operators import boxes as boxjoin
 from .operators.grid import Grid
 from .plans import experiments
 
@@ -756,6 +757,12 @@ def _(s, d):
     return b.join(o, "tile").select(F.col("p_partkey").alias("k1"), "k2", S.box_intersection(F.col("a"), F.col("b2")).alias("overlap"))
 
 
+@q("box_overlaps", f"WITH {_BOXES}, pairs AS (SELECT x.p_partkey // 200 AS tile, x.p_partkey AS k1, y.p_partkey AS k2, CAST(greatest(least(x.a2,y.b2)-greatest(x.a0,y.b0),0)*greatest(least(x.a3,y.b3)-greatest(x.a1,y.b1),0) AS DOUBLE) AS overlap FROM bx x JOIN bx y ON x.p_partkey // 200 = y.p_partkey // 200) SELECT * FROM pairs WHERE overlap > 0")
+def _(s, d):
+    b = boxes(s, d).withColumn("tile", F.expr("p_partkey div 200"))
+    return boxjoin.overlapping(b, b, ["tile"], ("p_partkey", "p_partkey"), ("a", "b"))
+
+
 @q("box_convert", f"WITH {_BOXES} SELECT p_partkey, (a0+a2)/2.0::DOUBLE AS cx, (a1+a3)/2.0::DOUBLE AS cy, CAST(a2-a0 AS DOUBLE) AS w, CAST(a3-a1 AS DOUBLE) AS h, CAST((a2-a0)*(a3-a1) AS DOUBLE) AS area, CAST(a0 AS DOUBLE)/32 AS nx FROM io")
 def _(s, d):
     c = S.xyxy_to_cxcywh(F.col("a"))

@@ -42,6 +42,8 @@ class Header:
     low: tuple[float, float, float]
     high: tuple[float, float, float]
     extra: tuple[tuple[str, str], ...]
+    crs: str | None = None  # the coordinate system's text
+    other_crs: bool = False  # whether one is declared by keys instead
 
     @classmethod
     def parse(cls, data: bytes) -> Header:
@@ -53,7 +55,7 @@ class Header:
         if (data[24], data[25]) != (1, 4) or fmt & 0x3F != 8:
             raise LasError(f"version {data[24]}.{data[25]}, point format {fmt}: only 1.4 with 8 is read")
         box = struct.unpack_from("<6d", data, 179)
-        extra, at = [], size
+        extra, at, crs, keys = [], size, None, False
         for _ in range(n_vlr):
             user, record, n = data[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", data, at + 18)
             if user == b"LASF_Spec" and record == 4:
@@ -62,10 +64,14 @@ class Header:
                     if kind not in EXTRA_TYPES:
                         raise LasError(f"extra bytes of type {kind}")
                     extra.append((data[i + 4 : i + 36].rstrip(b"\0").decode(), EXTRA_TYPES[kind]))
+            elif user == b"LASF_Projection" and record == 2112:
+                crs = data[at + VLR_BYTES : at + VLR_BYTES + n].rstrip(b"\0").decode()
+            elif user == b"LASF_Projection" and record == 34735:
+                keys = True
             at += VLR_BYTES + n
         if clash := {n for n, _ in extra} & {c.split()[0] for c in CORE.split(", ")}:
             raise LasError(f"extra dimensions named like core fields: {sorted(clash)}")
-        return cls(offset, length, struct.unpack_from("<Q", data, 247)[0], struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155), box[1::2], box[::2], tuple(extra))
+        return cls(offset, length, struct.unpack_from("<Q", data, 247)[0], struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155), box[1::2], box[::2], tuple(extra), crs, keys)
 
     @classmethod
     def read(cls, path: str) -> Header:
