@@ -65,6 +65,11 @@ def limited(points: DataFrame, chunks: int, chunk_size: int, key: str = "orig_in
     return points.where(F.col(key) < chunks * chunk_size)
 
 
+def examples(rows: DataFrame, k: int = 5, key: str = "orig_index") -> DataFrame:
+    """The first k rows by key: what an error message or a report shows."""
+    return rows.orderBy(key).limit(k)
+
+
 def sample(points: DataFrame, n: int, seed: int, key: str = "orig_index") -> DataFrame:
     """n rows without replacement: the least MD5 sums of seed:key."""
     return points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)

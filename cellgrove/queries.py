@@ -183,9 +183,9 @@ def q(name: str, sql: str | None):
 
 @q("grid_bounds", _sql("SELECT min(x) AS x_min, min(y) AS y_min, max(x) AS x_max, max(y) AS y_max, CAST(greatest(ceil((max(y)-min(y))/2),1) AS BIGINT) AS n_rows, CAST(greatest(ceil((max(x)-min(x))/2),1) AS BIGINT) AS n_cols, count(*) AS n FROM pts"))
 def _(s, d):
-    p = pts(s, d).agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"), F.count(F.lit(1)).alias("n"))
-    size = lambda a: F.greatest(F.ceil((F.col(f"{a}_max") - F.col(f"{a}_min")) / 2), F.lit(1)).cast("long")
-    return p.select("x_min", "y_min", "x_max", "y_max", size("y").alias("n_rows"), size("x").alias("n_cols"), "n")
+    p = pts(s, d)
+    g = Grid.of_points(p, 2.0)
+    return p.agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(getattr(g, k)).alias(k) for k in ("x_min", "y_min", "x_max", "y_max")], F.lit(g.rows).cast("long").alias("n_rows"), F.lit(g.cols).cast("long").alias("n_cols"), "n")
 
 
 @q("cell_index", _sql("SELECT orig_index, r, c FROM ptx"))
@@ -193,10 +193,11 @@ def _(s, d):
     return ptx(s, d).select("orig_index", "r", "c")
 
 
-@q("cell_center_roundtrip", _sql("SELECT r, c, CAST((c+0.5)*2 AS DOUBLE) AS x, CAST(128-(r+0.5)*2 AS DOUBLE) AS y FROM cells"))
+@q("cell_center_roundtrip", _sql("SELECT r, c, CAST((c+0.5)*2 AS DOUBLE) AS x, CAST(128-(r+0.5)*2 AS DOUBLE) AS y, count(*) AS n FROM ptx GROUP BY r, c"))
 def _(s, d):
-    x, y = GRID.centre()
-    return GRID.with_index(GRID.cells(s).select(x.alias("x"), y.alias("y")))
+    x, y = GRID.centre("_r", "_c")
+    at = GRID.with_index(pts(s, d).select("x", "y"), "_r", "_c").select(x.alias("x"), y.alias("y"))
+    return GRID.with_index(at).groupBy("r", "c", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("exg", _sql("SELECT orig_index, CAST(exg AS DOUBLE) AS exg FROM ptx"))
@@ -229,10 +230,10 @@ def _(s, d):
     return pth(s, d).select("orig_index", S.las_code(fusion.baseline()).alias("las_code"))
 
 
-@q("code_names", "SELECT * FROM (VALUES (11, 'pavement/sidewalk/parking'), (3, 'grass'), (5, 'tree'), (6, 'building'), (64, 'vehicle')) t(code, name)")
+@q("code_names", _sql("SELECT p.code, name, count(*) AS n FROM (SELECT classification AS code FROM pts) p LEFT JOIN (VALUES (11, 'pavement/sidewalk/parking'), (3, 'grass'), (5, 'tree'), (6, 'building'), (64, 'vehicle')) t(code, name) ON p.code = t.code WHERE p.code IN (11, 3, 5, 6, 64) GROUP BY 1, 2"))
 def _(s, d):
-    codes = s.range(1).select(F.explode(F.array(*map(F.lit, sorted({c for *_, c in CLASSES})))).alias("code"))
-    return codes.select("code", S.class_name(F.col("code")).alias("name"))
+    found = pts(s, d).where(F.col("classification").isin(*{c for *_, c in CLASSES})).groupBy(F.col("classification").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select("code", S.class_name(F.col("code")).alias("name"), "n")
 
 
 @q("digest_check", "SELECT orig, orig ~ '^[0-9a-f]{64}$' AS is_digest FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(CAST(doc_id AS VARCHAR)) ELSE CAST(doc_id AS VARCHAR) END AS orig FROM documents)")
@@ -794,10 +795,11 @@ def _(s, d):
     return metrics.select_best(candidates(s, d))
 
 
-@q("config_product", "SELECT s || CASE c WHEN 1 THEN '_c1' ELSE '_c0' END || CASE m WHEN 1 THEN '_s1' ELSE '_s0' END || '_' || t AS name, CAST(3 + c + m + CASE WHEN t = 'naive' THEN 0 ELSE 1 END AS INT) AS stages FROM (VALUES ('rules'), ('neural')) a(s), (VALUES (0), (1)) b(c), (VALUES (0), (1)) e(m), (VALUES ('naive'), ('height_aware')) f(t)")
+@q("config_product", _sql("SELECT s || CASE c WHEN 1 THEN '_c1' ELSE '_c0' END || CASE m WHEN 1 THEN '_s1' ELSE '_s0' END || '_' || t AS name, CAST(3 + c + m + CASE WHEN t = 'naive' THEN 0 ELSE 1 END AS INT) AS stages, code, n FROM (VALUES ('rules'), ('neural')) a(s), (VALUES (0), (1)) b(c), (VALUES (0), (1)) e(m), (VALUES ('naive'), ('height_aware')) f(t), (SELECT classification AS code, count(*) AS n FROM pts GROUP BY 1)"))
 def _(s, d):
     rows = [(c.name, int(c.stages)) for c in experiments.configurations()[2:18]]
-    return s.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("stages")) for n, k in rows])).alias("x")).select("x.*")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("stages")) for n, k in rows])).alias("x")
+    return audit.class_histogram(pts(s, d)).select("code", "n", each).select("x.name", "x.stages", "code", "n")
 
 
 def results(s, d):

@@ -84,10 +84,10 @@ def _(s, d):
     return sinks.blank_responses(pts(s, d), "orig_index", ["label", "reviewer", "notes"])
 
 
-@q("ordered_digest", _sql("""SELECT (SELECT count(*) FROM pts) AS rows, sha256(string_agg(v, chr(10) ORDER BY b)) AS digest FROM (
-  SELECT o // 100 AS b, sha256(string_agg(v, chr(10) ORDER BY o)) AS v FROM (SELECT row_number() OVER (ORDER BY orig_index) - 1 AS o, orig_index || ',' || CAST(x AS VARCHAR) || ',' || classification AS v FROM pts WHERE orig_index < 9000) GROUP BY 1)""").replace("(SELECT count(*) FROM pts) AS rows", "(SELECT count(*) FROM pts WHERE orig_index < 9000) AS rows"))
+@q("ordered_digest", _sql("""SELECT sum(n)::BIGINT AS rows, CASE WHEN count(*) = 1 THEN min(v) ELSE sha256(string_agg(v, chr(10) ORDER BY b)) END AS digest FROM (
+  SELECT o // 1000 AS b, count(*) AS n, sha256(string_agg(v, chr(10) ORDER BY o)) AS v FROM (SELECT row_number() OVER (ORDER BY orig_index) - 1 AS o, orig_index || ',' || CAST(x AS VARCHAR) || ',' || classification AS v FROM pts) GROUP BY 1)"""))
 def _(s, d):
-    return points.ordered_digest(points.limited(pts(s, d), 90, 100), ["orig_index", "x", "classification"], block=100)
+    return points.ordered_digest(pts(s, d), ["orig_index", "x", "classification"], block=1000)
 
 
 # --- detections
@@ -178,7 +178,7 @@ def _(s, d):
 
 @q("first_examples", _sql("SELECT orig_index FROM pts WHERE classification = 64 ORDER BY orig_index LIMIT 5"))
 def _(s, d):
-    return pts(s, d).where("classification = 64").select("orig_index").orderBy("orig_index").limit(5)
+    return points.examples(pts(s, d).where("classification = 64").select("orig_index"))
 
 
 @q("context", _sql("SELECT p.orig_index, p.r, p.c, CAST(p.exg AS DOUBLE) AS exg, CAST(g.surface_z AS DOUBLE) AS surface_z, g.n, CAST(g.hag AS DOUBLE) AS cell_hag FROM ptx p JOIN grd g USING (r, c) WHERE p.x >= 20 AND p.x <= 90 AND p.y >= 30 AND p.y <= 100"))
