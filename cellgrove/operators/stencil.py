@@ -129,23 +129,37 @@ def boundary_flag(z_range: str = "z_range", exg_range: str = "exg_range") -> Col
 
 
 def bilinear(coarse: DataFrame, small: Grid, large: Grid, value: str = "z", out: str = "dtm") -> DataFrame:
-    """The coarse raster stretched over the large grid: half-pixel centres, clamped at the edges, float32."""
-
-    def side(at: str, n: int, m: int):
-        s = (F.col(at) + 0.5) * F.lit(m / n) - 0.5
-        low = F.floor(s)
-        weight = s - low
-        clamp = lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(m - 1)).cast("int")
-        return F.array(F.struct(clamp(low).alias("i"), (1 - weight).alias("w")), F.struct(clamp(low + 1).alias("i"), weight.alias("w")))
-
-    d = large.cells(coarse.sparkSession).withColumns({"_a": side("r", large.rows, small.rows), "_b": side("c", large.cols, small.cols)})
-    corners, total = [(i, j) for i in (0, 1) for j in (0, 1)], F.lit(0.0)
-    for i, j in corners:  # four lookups side by side; nothing is exploded, and the large grid is never shuffled to add up
-        d = d.withColumns({"_r": F.get("_a", i)["i"], "_c": F.get("_b", j)["i"]})
-        d = small.gather(d, coarse.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(value).alias(f"_v{i}{j}")), ("_r", "_c"))
-        total = total + F.coalesce(F.get("_a", i)["w"] * F.get("_b", j)["w"] * F.col(f"_v{i}{j}"), F.lit(0.0))
-    any_value = F.coalesce(*[F.col(f"_v{i}{j}") for i, j in corners])
-    return d.select("r", "c", f32(F.when(any_value.isNotNull(), total)).alias(out))
+    """The coarse raster stretched over the large grid: half-pixel centres, clamped at the edges, float32.
+
+    The large grid is made, not joined: each coarse cell gets its neighbours below and to the right by two sorts of the
+    coarse raster, and then yields the large cells whose centres lie between the four. Empty cells weigh nothing; where
+    all four are empty, so is the result.
+    """
+    d = small.dense(coarse.select("r", "c", F.col(value).cast("double").alias("v00")))
+    d = d.withColumn("v01", F.lead("v00", 1).over(Window.partitionBy("r").orderBy("c")))
+    down = Window.partitionBy("c").orderBy("r")
+    d = d.withColumns({"v10": F.lead("v00", 1).over(down), "v11": F.lead("v01", 1).over(down)})
+
+    def side(d: DataFrame, at: str, n: int, m: int) -> DataFrame:
+        """The places 0..n-1 whose centres lie between a cell and the next, with the next one's weight. Beyond the first
+        and the last cell both are that cell."""
+        place = lambda k: (k + 0.5) * F.lit(m / n) - 0.5
+        low = F.when(F.col(at) == 0, 0).otherwise(F.floor((F.col(at) + 0.5) * F.lit(n / m) - 0.5) - 1)
+        high = F.when(F.col(at) == m - 1, n - 1).otherwise(F.ceil((F.col(at) + 1.5) * F.lit(n / m) - 0.5) + 1)
+        near = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(n - 1)).cast("int"))
+        own = lambda k: F.least(F.greatest(F.floor(place(k)), F.lit(0)), F.lit(m - 1)) == F.col(at)
+        d = d.withColumn(f"_{at}", F.explode(F.filter(near, own)))
+        s = place(F.col(f"_{at}"))
+        return d.withColumns({f"_w{at}": s - F.floor(s), f"_e{at}": (s < 0) | (F.col(at) == m - 1)})
+
+    d = side(side(d, "r", large.rows, small.rows), "c", large.cols, small.cols)
+    wr, wc = (1 - F.col("_wr"), F.col("_wr")), (1 - F.col("_wc"), F.col("_wc"))
+    below = F.when(F.col("_er"), F.col("v00")).otherwise(F.col("v10"))  # a neighbour beyond the edge is the edge itself
+    beside = F.when(F.col("_ec"), F.col("v00")).otherwise(F.col("v01"))
+    across = F.when(F.col("_er"), beside).when(F.col("_ec"), below).otherwise(F.col("v11"))
+    corners = {(0, 0): F.col("v00"), (0, 1): beside, (1, 0): below, (1, 1): across}
+    total = sum((F.coalesce(wr[i] * wc[j] * v, F.lit(0.0)) for (i, j), v in corners.items()), F.lit(0.0))
+    return d.select(F.col("_r").alias("r"), F.col("_c").alias("c"), f32(F.when(F.coalesce(*corners.values()).isNotNull(), total)).alias(out))
 
 
 def resize_mask(logits: DataFrame, small: Grid, large: Grid, value: str = "logit") -> DataFrame:

@@ -280,6 +280,17 @@ def _(s, d):
     return raster.void_rate(grd(s, d))
 
 
+#: A grid of 4 million cells, too large to be broadcast.
+FINE = Grid.of(0.0, 0.0, 128.0, 128.0, 0.0625)
+
+
+@q("near_surface_fine", _sql("SELECT r, c, count(*) AS n, max(CAST(top AS DOUBLE)) AS surface_z, avg(CAST(red AS DOUBLE)) AS red, avg(CAST(intensity AS DOUBLE)) AS intensity FROM (SELECT r, c, z, red, intensity, max(CAST(z AS FLOAT)) OVER (PARTITION BY r, c) AS top FROM (SELECT *, CAST(least(greatest(trunc((128-y)*16),0),2047) AS INT) AS r, CAST(least(greatest(trunc(x*16),0),2047) AS INT) AS c FROM pts)) WHERE CAST(z AS FLOAT) >= top - CAST(4 AS FLOAT) GROUP BY r, c"))
+def _(s, d):
+    p = FINE.with_index(pts(s, d))
+    top = raster.surface_max(p)
+    return doubles(raster.near_surface_means(p, top, FINE, ["red", "intensity"], 4.0).join(top, ["r", "c"]).select("r", "c", "n", "surface_z", "red", "intensity"))
+
+
 @q("rgb8", _sql("SELECT r, c, " + ", ".join(f"CAST(trunc(least(greatest(coalesce({x},0)/257,0),255)) AS INT) AS {x}8" for x in ("red", "green", "blue")) + " FROM grd"))
 def _(s, d):
     return raster.rgb8(grd(s, d))
