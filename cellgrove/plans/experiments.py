@@ -12,6 +12,7 @@ from ..config import IDS, REFERENCE_CODES, Fusion
 from ..functions.scalar import las_code
 from ..operators import fusion, metrics, transfer
 from ..operators.grid import Grid
+from ..operators.points import Bounds, crop
 from ..operators.stencil import modes
 
 
@@ -73,6 +74,11 @@ def predict(c: Configuration, points: DataFrame, grid: Grid, cells: dict[str, Da
     return d.withColumn("pred", las_code(F.col("internal_class_id")))
 
 
+def context(points: DataFrame, grid: Grid, cells: DataFrame, bounds: Bounds, closed: bool = False) -> DataFrame:
+    """The points of a rectangle (half open unless closed) with their cell (r, c) and what `cells` holds for it."""
+    return grid.gather(grid.with_index(crop(points, bounds, closed)), cells)
+
+
 Sources = dict[str, dict[str, Column]]
 
 

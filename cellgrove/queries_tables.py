@@ -8,6 +8,7 @@ from .functions import scalar as S
 from .operators import masks, matching, metrics, points, stencil
 from .operators.grid import Grid
 from .queries import _OUT, _PRED, GRID, _sql, boxes, grd, ptx, pts, scored, table
+from .plans import experiments
 from .sources import sinks, tiles
 
 QUERIES: dict = {}
@@ -184,7 +185,7 @@ def _(s, d):
 @q("context", _sql("SELECT p.orig_index, p.r, p.c, CAST(p.exg AS DOUBLE) AS exg, CAST(g.surface_z AS DOUBLE) AS surface_z, g.n, CAST(g.hag AS DOUBLE) AS cell_hag FROM ptx p JOIN grd g USING (r, c) WHERE p.x >= 20 AND p.x <= 90 AND p.y >= 30 AND p.y <= 100"))
 def _(s, d):
     cells = grd(s, d).select("r", "c", "surface_z", "n", F.col("hag").alias("cell_hag"))
-    p = GRID.gather(points.crop(ptx(s, d), (20.0, 30.0, 90.0, 100.0)), cells)
+    p = experiments.context(ptx(s, d), GRID, cells, (20.0, 30.0, 90.0, 100.0), closed=True)
     return p.select("orig_index", "r", "c", F.col("exg").cast("double").alias("exg"), F.col("surface_z").cast("double").alias("surface_z"), "n", F.col("cell_hag").cast("double").alias("cell_hag"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove.operators import points
-from cellgrove.sources import las, store
+from cellgrove.sources import las, npy, store
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,27 @@ def test_a_task_that_dies_is_written_once(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=180)
     assert "ROWS 1000 1000" in done.stdout, done.stderr[-2000:]
     assert all(n.startswith("part-") for n in os.listdir(tmp_path / "las"))
+
+
+def test_npz_bundles(spark, tmp_path):
+    """Stored and compressed bundles, read by ranges or as a stream; written from npy files."""
+    a, b = np.arange(24, dtype="f4").reshape(4, 6) / 8, np.arange(5, dtype="u1")
+    np.savez(tmp_path / "stored.npz", a=a, b=b)
+    np.savez_compressed(tmp_path / "small.npz", a=a, b=b, none=np.zeros(0, "i4"))
+    for name in ("stored", "small"):
+        path = f"file://{tmp_path}/{name}.npz"
+        assert npy.npz_shapes(path)["a"] == (4, 6)
+        for k, x in (("a", a), ("b", b)):
+            got = npy.read_npz(spark, path, k, rows=5)
+            assert [r.value for r in got.orderBy("position").collect()] == x.ravel().tolist()
+    assert npy.read_npz(spark, f"file://{tmp_path}/stored.npz", "a", rows=5).rdd.getNumPartitions() == 5
+    assert npy.read_npz(spark, f"file://{tmp_path}/small.npz", "none").count() == 0
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", b)
+    out = f"file://{tmp_path}/made.npz"
+    npy.write_npz(out, {"a": f"file://{tmp_path}/a.npy", "b": str(tmp_path / "b.npy")}, block=16)
+    with np.load(tmp_path / "made.npz") as z:
+        assert (z["a"] == a).all() and (z["b"] == b).all()
+    assert [r.value for r in npy.read_npz(spark, out, "b", rows=2).orderBy("position").collect()] == b.tolist()
+    with pytest.raises(FileExistsError):
+        npy.write_npz(out, {})
