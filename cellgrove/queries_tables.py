@@ -88,7 +88,7 @@ def _(s, d):
 @q("ordered_digest", _sql("""SELECT sum(n)::BIGINT AS rows, CASE WHEN count(*) = 1 THEN min(v) ELSE sha256(string_agg(v, chr(10) ORDER BY b)) END AS digest FROM (
   SELECT o // 1000 AS b, count(*) AS n, sha256(string_agg(v, chr(10) ORDER BY o)) AS v FROM (SELECT row_number() OVER (ORDER BY orig_index) - 1 AS o, orig_index || ',' || CAST(x AS VARCHAR) || ',' || classification AS v FROM pts) GROUP BY 1)"""))
 def _(s, d):
-    return points.ordered_digest(pts(s, d), ["orig_index", "x", "classification"], block=1000)
+    return points.ordered_digest(pts(s, d), ["orig_index", "x", "classification"], block=1000, flat=True)
 
 
 # --- detections

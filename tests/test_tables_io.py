@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove import __main__ as cli
+from cellgrove import queries_tables
 from cellgrove.operators import inpainting, masks, matching, metrics, points, stencil
 from cellgrove.operators.grid import Grid
 from cellgrove.plans import guard
@@ -101,6 +102,25 @@ def test_ordered_digest_by_hand(spark):
     assert points.ordered_digest(d.where("false"), ["a", "b"], "k").first().rows == 0
 
 
+def test_flat_digest_has_two_levels(spark):
+    d = spark.range(1000).select(F.col("id").alias("k")).repartition(6)
+    sha = lambda xs: hashlib.sha256("\n".join(xs).encode()).hexdigest()
+    for n in (8, 9, 1000):  # one block, two, and more blocks than a block has rows
+        want = [sha(map(str, range(i, min(n, i + 8)))) for i in range(0, n, 8)]
+        got = points.ordered_digest(d.where(F.col("k") < n), ["k"], "k", 8, flat=True)
+        assert got.collect() == [(n, sha(want) if len(want) > 1 else want[0])]
+
+
+def test_ordered_digest_query_has_the_levels_of_its_sql(spark, tmp_path):
+    """Above 1,000,000 points there are more blocks than a block has rows."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(1_000_001).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.sql(queries_tables.oracle_sql()["q_ordered_digest"]).fetchall()
+    assert [tuple(r) for r in queries_tables.queries()["q_ordered_digest"](spark, str(tmp_path)).collect()] == want
+
+
 def bilinear_by_hand(a, y, x):
     total = 0.0
     for i in (0, 1):
