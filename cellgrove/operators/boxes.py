@@ -1,6 +1,6 @@
 """Joins of boxes (arrays x0, y0, x1, y1) that overlap, by a hierarchy of grids instead of all pairs.
 
-A box belongs to the level whose cells are as large as its longer side, so it touches four cells there at most. It also
+A box belongs to the level whose cells are as large as its longer side, so it reaches into four cells there at most. It also
 looks into the coarser levels that are in use, where larger boxes live. A pair meets at the level of its larger box and
 is reported in one cell only, that of the upper left corner of what both cover.
 """
@@ -30,7 +30,8 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], keys: tuple[str, str]
 
     Touching boxes don't overlap; boxes that are null, reversed, flat or not finite overlap nothing. Keys needn't be
     unique: rows meet, not keys. What is collected are the levels in use, a few dozen at most. Cells are joined by
-    equality, so crowded ones can be split by Spark like any skewed key.
+    equality, so crowded ones can be split by Spark like any skewed key. Both sides are always shuffled and sorted:
+    Spark's estimates leave out that a box becomes several cells, so it would broadcast whole sides of any size.
     """
     sides = []
     for d, key, box in ((a, keys[0], boxes[0]), (b, keys[1], boxes[1])):
@@ -42,16 +43,16 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], keys: tuple[str, str]
     size = F.pow(F.lit(2.0), F.col("level"))
 
     def cells(d: DataFrame, k: str, x: str, own: bool) -> DataFrame:
-        """The cells of each box at its own level, or at the coarser ones."""
+        """The cells that hold some area of each box, at its own level or at the coarser ones."""
         there = F.array(*map(F.lit, levels))
         d = d.withColumn("level", F.col("own") if own else F.explode(F.filter(there, lambda v: v > F.col("own"))))
         for at, low, high in (("i", 0, 2), ("j", 1, 3)):
-            d = d.withColumn(at, F.explode(F.sequence(F.floor(F.get("x", low) / size), F.floor(F.get("x", high) / size))))
+            d = d.withColumn(at, F.explode(F.sequence(F.floor(F.get("x", low) / size), F.ceil(F.get("x", high) / size) - 1)))
         return d.select(*by, "level", "i", "j", F.col("k").alias(k), F.col("x").alias(x))
 
     left, right = ([cells(d, k, x, own) for own in (True, False)] for d, k, x in ((sides[0], "k1", "x1"), (sides[1], "k2", "x2")))
     on = [*by, "level", "i", "j"]
-    met = left[0].join(right[0], on).unionByName(left[0].join(right[1], on)).unionByName(left[1].join(right[0], on))
+    met = left[0].join(right[0].unionByName(right[1]).hint("merge"), on).unionByName(left[1].join(right[0].hint("merge"), on))
     corner = lambda k: F.floor(F.greatest(F.get("x1", k), F.get("x2", k)) / size)
     once = met.where((corner(0) == F.col("i")) & (corner(1) == F.col("j")))
     return once.withColumn("overlap", box_intersection(F.col("x1"), F.col("x2"))).where("overlap > 0").select(*by, "k1", "k2", "overlap")
