@@ -432,6 +432,31 @@ def test_quality_edges(spark, empty, odd, docs):
     assert again == d.count()
 
 
+def test_quality_learns_from_all_pairs(spark):
+    """The weights against the loss over all pairs of labelled documents, the cut against all their scores."""
+    d, l = labelled_docs(spark)
+    flipped = l.withColumn("quality", F.when(F.col("doc_id") % 10 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    model = quality.fit(d, flipped)
+    rows = d.join(flipped, "doc_id").where(~quality.held_out(5)).collect()
+    z = model.scaled(quality.features([r.text.encode() for r in rows])) / quality.UNIT
+    y, w = np.array([r.quality for r in rows]), model.w / quality.UNIT
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    gradient = -(pairs.T @ (1 / (1 + np.exp(pairs @ w)))) / len(pairs) + quality.DECAY * w
+    assert np.abs(gradient).max() < 2e-4
+    assert model.cut / quality.UNIT**2 == pytest.approx(np.quantile(z @ w, (y == 0).mean()))
+    again = quality.fit(d.repartition(7), flipped.repartition(3))
+    assert (again.w == model.w).all() and again.cut == model.cut
+
+
+def test_quality_cut_parts_all_labelled_documents(spark):
+    """50,000 documents, labelled unlike in halves by a hash of doc_id: as many fall under the cut as are labelled 0 in all."""
+    d = spark.range(0, 50_000, 1, 4).select(F.col("id").alias("doc_id"), F.translate(F.sha2(F.col("id").cast("string"), 512), "abcdef", "!?,.;:").alias("text"))
+    one_in = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, 10).otherwise(2)
+    l = d.select("doc_id", (F.crc32("text") % one_in > 0).cast("int").alias("quality"))
+    got = quality.classify(d, l).join(l, "doc_id").where("not held_out")
+    assert abs(got.where("predicted = 0").count() - got.where("quality = 0").count()) <= 2
+
+
 # 8
 
 
