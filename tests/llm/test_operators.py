@@ -205,6 +205,29 @@ def test_components(spark):
     assert got == {x: find(x) for x in nodes}
 
 
+def test_components_of_odd_edges(spark):
+    """No edges, loops, repeated and opposite edges, and a hub that is not the least of its component."""
+    of = lambda edges: {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert of([]) == of([(4, 4)]) == {}
+    assert of([(2, 1), (1, 2), (2, 1), (3, 3)]) == {1: 1, 2: 1}
+    assert of([(50, i) for i in range(40, 60) if i != 50] + [(59, 7)]) == {i: 7 for i in [7, *range(40, 60)]}
+
+
+def test_near_duplicates_plans_stay_small(spark, docs, monkeypatch):
+    """No plan that the driver runs holds the links' plan several times over."""
+    exchanges = []
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return settle(df)
+
+    monkeypatch.setattr(components, "settle", counted)
+    monkeypatch.setattr(minhash, "settle", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2).collect()}
+    assert got == {k: v[1] for k, v in minhash.brute_force([(r.doc_id, r.text) for r in docs.collect()], 2).items()}
+    assert max(exchanges) <= 20
+
+
 # 4
 
 
